@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that ``column`` holds about ``limit`` bytes in each; one longer row stays whole."""
     for batch in batches:
-        sizes = [x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:

@@ -130,13 +130,13 @@ WITH sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sizes GROUP BY source
 ), capped AS (
   SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, (2 * source_size)::DOUBLE AS cap FROM total
-), level AS (
-  SELECT *, row_number() OVER (ORDER BY cap / weight, rank) AS at,
+), levels AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, rank) AS pos,
     ((SELECT sum(source_size)::DOUBLE FROM total) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-      / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam
   FROM capped
-), found AS (SELECT arg_min(level, at) AS level FROM level WHERE level * weight <= cap),
-targets AS (SELECT source, rank, source_size, least(cap, found.level * weight) AS target FROM capped, found),
+), found AS (SELECT arg_min(lam, pos) AS lam FROM levels WHERE lam * weight <= cap),
+targets AS (SELECT source, rank, source_size, least(cap, found.lam * weight) AS target FROM capped, found),
 placed AS (
   SELECT s.doc_id, s.size, t.rank, t.source_size, t.target,
     coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY digest, doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + s.size / 2.0::DOUBLE AS place
