@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, tokens
+from . import media, mixing, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix": mixing.op1_mix,
         "op2_media": media.op2_media,
         "op3_sentencepiece": tokens.op3_sentencepiece,
+        "op7_toxicity": toxicity.op7_toxicity,
     }
 
 
