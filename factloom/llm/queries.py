@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, tokens, toxicity
+from . import licenses, media, mixing, quality, sharding, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,7 +10,10 @@ def queries() -> dict:
         "op1_mix": mixing.op1_mix,
         "op2_media": media.op2_media,
         "op3_sentencepiece": tokens.op3_sentencepiece,
+        "op5_sharding": sharding.op5_sharding,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op9_quality": quality.op9_quality,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
