@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, quality, sharding, tokens, toxicity
+from . import embeddings, licenses, media, mixing, quality, sharding, tokens, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_media": media.op2_media,
         "op3_sentencepiece": tokens.op3_sentencepiece,
         "op5_sharding": sharding.op5_sharding,
+        "op6_embeddings": embeddings.op6_embeddings,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_quality": quality.op9_quality,
         "op10_licenses": licenses.op10_licenses,
