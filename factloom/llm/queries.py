@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, licenses, media, mixing, quality, sharding, tokens, toxicity
+from . import embeddings, jaccard, licenses, media, mixing, quality, sharding, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix": mixing.op1_mix,
         "op2_media": media.op2_media,
         "op3_sentencepiece": tokens.op3_sentencepiece,
+        "op4_jaccard": jaccard.op4_jaccard,
         "op5_sharding": sharding.op5_sharding,
         "op6_embeddings": embeddings.op6_embeddings,
         "op7_toxicity": toxicity.op7_toxicity,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.OP1_SQL}
+    return {"op1_mix": mixing.OP1_SQL, "op4_jaccard": jaccard.OP4_SQL}
