@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, licenses, media, mixing, quality, sharding, tokens, toxicity
+from . import embeddings, jaccard, licenses, media, mixing, quality, sharding, substrings, tokens, toxicity
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
         "op5_sharding": sharding.op5_sharding,
         "op6_embeddings": embeddings.op6_embeddings,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_substrings": substrings.op8_substrings,
         "op9_quality": quality.op9_quality,
         "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.OP1_SQL, "op4_jaccard": jaccard.OP4_SQL}
+    return {"op1_mix": mixing.OP1_SQL, "op4_jaccard": jaccard.OP4_SQL, "op8_substrings": substrings.OP8_SQL}
