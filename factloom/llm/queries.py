@@ -5,8 +5,15 @@ from __future__ import annotations
 from . import embeddings, jaccard, licenses, media, mixing, quality, sharding, substrings, tokens, toxicity
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_mix": mixing.op1_mix,
         "op2_media": media.op2_media,
         "op3_sentencepiece": tokens.op3_sentencepiece,
