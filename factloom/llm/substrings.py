@@ -127,7 +127,7 @@ def window_keys(h: np.ndarray, starts: np.ndarray, digests: np.ndarray, n: int =
 class Chunk:
     """The windows of a chunk's documents that have an id."""
 
-    def __init__(self, rows: pa.RecordBatch):
+    def __init__(self, rows: pa.RecordBatch, keyed: bool = True):
         self.rows = rows
         self.words = [(t or b"").split() for t in utf8(rows.column("text"))]
         self.counts = np.array([len(w) for w in self.words], np.int64)
@@ -143,7 +143,7 @@ class Chunk:
         if len(self.starts):
             digests = window_digests(h)
             self.digests = digests[self.starts]
-            self.keys = window_keys(h, self.starts, self.digests)
+            self.keys = window_keys(h, self.starts, self.digests) if keyed else np.empty(0, _U)
         else:
             self.digests = self.keys = np.empty(0, _U)
 
@@ -243,8 +243,9 @@ def _ask(chunks: DataFrame, message: Callable, answer: Callable, buckets: int) -
             for c, b, m in zip(*(batch.column(k).to_pylist() for k in ("chunk", "bucket", "message"))):
                 got.setdefault(b, []).append((c, m))
         for b, records in got.items():
-            bits = answer([m for _, m in records])
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in records], pa.int64()), pa.array([b] * len(records), pa.int32()), pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())], ["chunk", "bucket", "bits"])
+            # what a chunk sends to a negative bucket is a note to itself
+            bits = [m for _, m in records] if b < 0 else [np.packbits(x).tobytes() for x in answer([m for _, m in records])]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in records], pa.int64()), pa.array([b] * len(records), pa.int32()), pa.array(bits, pa.binary())], ["chunk", "bucket", "bits"])
 
     replies = chunks.mapInArrow(send, "chunk long, bucket int, message binary").repartition(buckets, "bucket").mapInArrow(reply, "chunk long, bucket int, bits binary")
     # a chunk has at most one answer from each bucket
@@ -294,7 +295,11 @@ def _removed(docs: DataFrame, output: Callable[[Chunk, list[np.ndarray]], pa.Rec
 
     def windows(one: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         chunk = Chunk(_opened(one.column("rows")[0].as_py()))
-        d, low, _ = chunk.least(chunk.repeated(_answers(one, "shared"), buckets))
+        open_ = chunk.repeated(_answers(one, "shared"), buckets)
+        d, low, _ = chunk.least(open_)
+        note = np.zeros(len(chunk.starts), bool)
+        note[open_] = True
+        yield -1 - one.column("chunk")[0].as_py() % buckets, np.packbits(note).tobytes()
         for b, at in _dealt(d, buckets):
             yield b, d[at].tobytes() + np.ascontiguousarray(low[at].view(np.uint8).reshape(-1, 8).T).tobytes()
 
@@ -304,10 +309,11 @@ def _removed(docs: DataFrame, output: Callable[[Chunk, list[np.ndarray]], pa.Rec
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                chunk = Chunk(_opened(one.column("rows")[0].as_py()))
-                at = chunk.repeated(_answers(one, "shared"), buckets)
+                chunk, answers = Chunk(_opened(one.column("rows")[0].as_py()), keyed=False), _answers(one, "smaller")
+                note = next(bits for b, bits in answers.items() if b < 0)
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(note, np.uint8))[: len(chunk.starts)])
                 d, low, which = chunk.least(at)
-                gone = _answered(d, _answers(one, "smaller"), buckets)[which] | (low[which] < chunk.doc[at])
+                gone = _answered(d, answers, buckets)[which] | (low[which] < chunk.doc[at])
                 total = int(chunk.counts.sum())
                 edges = np.zeros(total + 1, np.int64)
                 np.add.at(edges, chunk.starts[at[gone]], 1)
@@ -315,7 +321,7 @@ def _removed(docs: DataFrame, output: Callable[[Chunk, list[np.ndarray]], pa.Rec
                 keep = np.cumsum(edges)[:total] == 0
                 yield output(chunk, [keep[f : f + c] for f, c in zip(chunk.first, chunk.counts)])
 
-    return keyed.join(smaller, F.col("chunk") == F.col("__c"), "left").drop("__c").mapInArrow(remove, schema)
+    return chunks.join(smaller, F.col("chunk") == F.col("__c")).drop("__c").mapInArrow(remove, schema)
 
 
 def removals(docs: DataFrame) -> DataFrame:
