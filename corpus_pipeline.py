@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm import jaccard, mixing, quality, substrings, tokens
 from factloom.llm.common import documents, labels, written
@@ -20,7 +21,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: passages that a smaller id has are cut out of the text; n_chars follows the text."""
-    return substrings.without_repeats(docs)
+    out = substrings.without_repeats(docs)
+    if "n_chars" not in out.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(out.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
