@@ -130,7 +130,7 @@ def relative_file(file: Column, root: Column) -> Column:
 
 
 def scope_list(text: Column, default: str = "./...") -> Column:
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(parts) == 0, F.array(F.lit(default))).otherwise(parts)
 
 
