@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,6 +44,22 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Bucketed:
+    """``df`` as a table in the shared folder, bucketed by a key: joins on the key shuffle the other side alone."""
+
+    def __init__(self, df: DataFrame, key: str):
+        self.spark = df.sparkSession
+        self.path, self.name = f"{shared_dir(self.spark)}/bucketed", f"factloom_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", self.path).saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
@@ -61,6 +79,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start)
 
 
+def released() -> None:
+    """Gives a worker's freed memory back to the system at the end of a task; workers live on and share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model may learn from: crc32 of the id's text is a multiple of 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

@@ -25,18 +25,16 @@ def _small(edges: DataFrame) -> DataFrame:
     return across.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, and that to a node that has none."""
+    r = edges.join(edges.select(F.col("a").alias("__up")).distinct(), F.col("b") == F.col("__up"), "left").agg(F.count("*").alias("n"), F.countDistinct("a").alias("nodes"), F.count("__up").alias("up")).first()
+    return r["up"] == 0 and r["n"] == r["nodes"]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, component): the least node that each node reaches. Nodes that are least themselves are left out."""
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+    while True:
         now = written(_small(_large(now)), "edges")
-        if (after := _mark(now)) == mark:
-            break
-        mark = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        if _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

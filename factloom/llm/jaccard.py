@@ -36,33 +36,52 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, slices, utf8, written
+from .common import Bucketed, documents, released, slices, utf8, written
 from .graph import components
-from .words import WordHashes, mixed, shingles
+from .words import HASHES, mixed, shingles
 
 SHINGLE = 5
 #: Linked if LINK[1] * intersection >= LINK[0] * union.
 LINK = (3, 4)
 #: Sets in a region whose pairs are compared directly.
-SMALL = 48
-#: Passes over documents in large regions, and rounds of further pivots in those left.
-PASSES, ROUNDS = 3, 3
+SMALL = 24
+#: Passes over documents in large regions; rounds of further pivots in those left, and pivots of a round.
+PASSES, ROUNDS, FURTHER = 3, 3, 32
 #: Most pivots that are moved to the end of the order (8 bytes each in every task); the most frequent ones are chosen.
 MOST_MOVED = 2_000_000
 #: Entries that a mapper packs at a time, and entries of a pivot among them from which it is spread.
-PACKED, SPREAD = 2_000_000, 64
-
-_hashes = WordHashes()
-
+PACKED, SPREAD = 1_000_000, 64
+#: Sets of a task, and of all tasks with so many, from which a shingle goes to the end of the order at once. Of a task's shingles
+#: those below ``LOW`` are counted, which windows seldom go beyond, ``COUNTED`` at a time.
+OFTEN, FREQUENT = 2, 24
+LOW, COUNTED = np.uint64(int(0.4 * 2**64)), 2_000_000
 
 def shingle_set(text: bytes | None) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text of fewer words is one shingle."""
     words = (text or b"").lower().split()
-    h = _hashes.of(words)
+    h = HASHES.of(words)
     return np.unique(shingles(h, min(SHINGLE, len(words)))) if words else np.empty(0, np.uint64)
 
 
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """:func:`shingle_set` of many texts at once."""
+    words = [(t or b"").lower().split() for t in texts]
+    h = HASHES.of([w for ws in words for w in ws])
+    every = shingles(h, SHINGLE)
+    out, at = [], 0
+    for ws in words:
+        n = len(ws)
+        if n >= SHINGLE:
+            s = np.sort(every[at : at + n - SHINGLE + 1])
+            out.append(s[np.r_[True, s[1:] != s[:-1]]])
+        else:
+            out.append(shingles(h[at : at + n], n) if n else np.empty(0, np.uint64))
+        at += n
+    return out
+
+
 def _class(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -78,104 +97,147 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n, class (null: linked with nothing)."""
+    """doc_id, text_hash, n, class (null: linked with nothing); and rows with cell and sets alone, for shingles that are
+    frequent somewhere: in how many sets of a task, if in ``OFTEN`` or more."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "n", "class", "cell", "sets"]
+
+    def frequent(sets: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
+        cells, count = np.unique(np.concatenate(sets), return_counts=True)
+        cells, count = cells[count >= OFTEN], count[count >= OFTEN]
+        none = pa.nulls(len(cells), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.nulls(len(cells), id_type), none, none, none, pa.array(cells.view(np.int64)), pa.array(count)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 23):
-            sets = [shingle_set(t) for t in utf8(batch.column("text"))]
+        seen: set[int] = set()
+        low: list[np.ndarray] = []
+        held, id_type = 0, None
+        for batch in slices(batches, "text", 1 << 22):
+            id_type = batch.column("doc_id").type
+            sets = shingle_sets(utf8(batch.column("text")))
             valid = batch.column("doc_id").is_valid().to_pylist()
             cls = [_class(s) if len(s) and ok else None for s, ok in zip(sets, valid)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "text_hash", "n", "class"])
-
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, class long")
-
-
-def _pack(cells: np.ndarray, classes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, record). Kinds: 0 entries, 1 entries of pivots known to be shared, 2 those pivots."""
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), none, none], names)
+            for c, s in zip(cls, sets):
+                if c is not None and c not in seen:
+                    seen.add(c)
+                    low.append(s[: np.searchsorted(s, LOW)])
+                    held += len(low[-1])
+            if held >= COUNTED:
+                yield frequent(low, id_type)
+                seen.clear()
+                low, held = [], 0
+        if low:
+            yield frequent(low, id_type)
+        released()
+
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, class long, cell long, sets long")
+
+
+def _fresh(cells: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by cell and class, repeats dropped."""
     order = np.lexsort((classes, cells))
-    cells, classes = cells[order], classes[order]
+    cells, classes, sizes = cells[order], classes[order], sizes[order]
     if len(cells):
         fresh = np.r_[True, (cells[1:] != cells[:-1]) | (classes[1:] != classes[:-1])]
-        cells, classes = cells[fresh], classes[fresh]
+        cells, classes, sizes = cells[fresh], classes[fresh], sizes[fresh]
+    return cells, classes, sizes
+
+
+def _pack(cells: np.ndarray, classes: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, record). Kinds: 0 entries, 1 entries of pivots known to be shared, 2 those pivots."""
+    cells, classes, sizes = _fresh(cells, classes, sizes)
     _, first, count = np.unique(cells, return_index=True, return_counts=True)
     many = np.repeat(count > SPREAD, count)
     where = (mixed(cells) % np.uint64(buckets)).astype(np.int64)
     spread = (mixed(classes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    for kind, at, picked in ((0, where, ~many), (1, spread, many), (2, where, np.isin(np.arange(len(cells)), first[count > SPREAD]))):
-        b, c, k = at[picked], cells[picked], classes[picked]
-        order = np.argsort(b, kind="stable")
-        b, c, k = b[order], c[order], k[order]
-        for x, y in zip(*(lambda u: (u, np.r_[u[1:], len(b)]))(np.flatnonzero(np.r_[True, b[1:] != b[:-1]])) if len(b) else ((), ())):
-            yield int(b[x]), kind, c[x:y].tobytes() + k[x:y].tobytes()
+    for kind, at, picked in ((0, where, np.flatnonzero(~many)), (1, spread, np.flatnonzero(many)), (2, where, first[count > SPREAD])):
+        if not len(picked):
+            continue
+        order = picked[np.argsort(at[picked], kind="stable")]
+        b, c, k, n = at[order], cells[order], classes[order], sizes[order]
+        cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        for x, y in zip(cuts, np.r_[cuts[1:], len(b)]):
+            yield int(b[x]), kind, c[x:y].tobytes() + k[x:y].tobytes() + n[x:y].tobytes()
 
 
 def shared_cells(texts: DataFrame, moved: np.ndarray, buckets: int) -> DataFrame:
-    """(cell, class) of the windows, for pivots in the windows of two classes or more. ``moved`` (sorted) come last in the order."""
-    has_class = "class" in texts.columns
+    """(cell, class, n) of the windows, for pivots in the windows of two classes or more. ``moved`` (sorted) come last in the order."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
             if cells:
-                rows = list(_pack(np.concatenate(cells), np.concatenate(classes), buckets))
+                rows = list(_pack(np.concatenate(cells), np.repeat(np.array(classes, np.int64), lengths), np.repeat(np.array(sizes, np.uint32), lengths), buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "record"])
 
-        cells: list[np.ndarray] = []
-        classes: list[np.ndarray] = []
+        cells, classes, sizes, lengths, held = [], [], [], [], 0
         seen: set[int] = set()
-        held = 0
-        for batch in slices(batches, "text", 1 << 23):
-            for t in utf8(batch.column("text")):
-                s = shingle_set(t)
+        for batch in slices(batches, "text", 1 << 22):
+            sets = shingle_sets(utf8(batch.column("text")))
+            last = _among(np.concatenate(sets), moved) if len(moved) and sets else None
+            at = 0
+            for s in sets:
+                here = None if last is None else last[at : at + len(s)]
+                at += len(s)
                 if not len(s) or (c := _class(s)) in seen:
                     continue
                 seen.add(c)
                 p = window_size(len(s))
-                if len(moved):
-                    last = np.isin(s, moved, assume_unique=True)
-                    s = np.concatenate([s[~last], s[last]])
-                cells.append(s[:p])
-                classes.append(np.full(p, c, np.int64))
+                if here is not None and here[:p].any():
+                    window = s[~here][:p]
+                    if len(window) < p:
+                        window = np.concatenate([window, s[here][: p - len(window)]])
+                else:
+                    window = s[:p]
+                cells.append(window)
+                classes.append(c)
+                sizes.append(len(s))
+                lengths.append(p)
                 held += p
                 if held >= PACKED:
                     yield from flush()
-                    cells, classes, held = [], [], 0
+                    cells, classes, sizes, lengths, held = [], [], [], [], 0
                     seen.clear()
         yield from flush()
+        released()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {0: [], 1: [], 2: []}
         for batch in batches:
             for kind, record in zip(batch.column("kind").to_pylist(), batch.column("record").to_pylist()):
-                if kind == 1:
-                    yield _rows(*_halves(record))
-                else:
-                    parts[kind].append(record)
-        cells, classes = (np.concatenate(x) for x in zip(*[_halves(r) for r in parts[0]])) if parts[0] else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        known = np.unique(np.concatenate([_halves(r)[0] for r in parts[2]])) if parts[2] else np.empty(0, np.uint64)
-        parts.clear()
-        order = np.lexsort((classes, cells))
-        cells, classes = cells[order], classes[order]
+                parts[kind].append(record)
+        cells, classes, sizes = _fresh(*_entries(parts[0]))
         if len(cells):
-            fresh = np.r_[True, (cells[1:] != cells[:-1]) | (classes[1:] != classes[:-1])]
-            cells, classes = cells[fresh], classes[fresh]
             _, inverse, count = np.unique(cells, return_inverse=True, return_counts=True)
-            shared = (count > 1)[inverse] | np.isin(cells, known)
-            for s in range(0, len(cells), 1 << 16):
-                keep = shared[s : s + (1 << 16)]
-                yield _rows(cells[s : s + (1 << 16)][keep], classes[s : s + (1 << 16)][keep])
+            shared = np.flatnonzero((count > 1)[inverse] | np.isin(cells, _entries(parts[2])[0]))
+            yield from _rows(cells[shared], classes[shared], sizes[shared])
+        # an entry that several mappers spread meets itself in one bucket, as it is spread by its class
+        yield from _rows(*_fresh(*_entries(parts[1])))
+        released()
 
     dealt = texts.select("text").mapInArrow(deal, "bucket int, kind int, record binary").repartition(buckets, "bucket")
-    return dealt.mapInArrow(gather, "cell long, class long").distinct()
+    return dealt.mapInArrow(gather, "cell long, class long, n long")
 
 
-def _halves(record: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(record) // 16
-    return np.frombuffer(record[: 8 * n], np.uint64), np.frombuffer(record[8 * n :], np.int64)
+def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
-def _rows(cells: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(classes)], ["cell", "class"])
+def _entries(records: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cells, classes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+    for r in records:
+        n = len(r) // 20
+        cells.append(np.frombuffer(r, np.uint64, n))
+        classes.append(np.frombuffer(r, np.int64, n, 8 * n))
+        sizes.append(np.frombuffer(r, np.uint32, n, 16 * n))
+    return np.concatenate(cells), np.concatenate(classes), np.concatenate(sizes)
+
+
+def _rows(cells: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for s in range(0, len(cells), 1 << 16):
+        at = slice(s, s + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(cells[at].view(np.int64)), pa.array(classes[at]), pa.array(sizes[at].astype(np.int64))], ["cell", "class", "n"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -193,19 +255,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last, own = b, shingle_set(y)
                 keep.append(linked(shingle_set(x), own))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        released()
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _possible(pairs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of classes, those that the overlap of their windows leaves within the radius."""
-    side = lambda k: windows.select(F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("cells").alias(f"cells_{k}"))
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least(n_a, n_b) * LINK[1] >= F.greatest(n_a, n_b) * LINK[0])
+def _within(n_a, n_b, common):
+    """Whether sets of these sizes, of whose windows so many shingles are common, may be linked."""
     # of the set whose window ends first, only what lies beyond the window can be common besides
-    beyond = F.greatest(n_a - F.expr("n_a - ceil(n_a * 3 / 4) + 1"), n_b - F.expr("n_b - ceil(n_b * 3 / 4) + 1"))
-    most = F.size(F.array_intersect("cells_a", "cells_b")) + beyond
-    return both.where(most * sum(LINK) >= LINK[0] * (n_a + n_b)).select("a", "b")
+    beyond = F.greatest(*[n - window_size_of(n) for n in (n_a, n_b)])
+    return (F.least(n_a, n_b) * LINK[1] >= F.greatest(n_a, n_b) * LINK[0]) & ((common + beyond) * sum(LINK) >= LINK[0] * (n_a + n_b))
+
+
+def window_size_of(n):
+    return n - F.ceil(n * LINK[0] / LINK[1]) + 1
 
 
 def _joined(links: list[DataFrame]) -> DataFrame:
@@ -217,68 +280,120 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(f, F.col("class") == F.col("__node"), "left").select(*rows.columns, F.coalesce("__component", "class").alias("component"))
 
 
-def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Links (a, b) between classes that join the same components as all links do. ``classes`` has class, rep, text_hash, n."""
+def _sorted_cells(cells: DataFrame) -> np.ndarray:
+    """The most frequent ``MOST_MOVED`` of (cell, sets), sorted by cell."""
+    return np.sort(cells.orderBy(F.desc("sets"), "cell").limit(MOST_MOVED).select("cell").toArrow().column("cell").to_numpy().view(np.uint64))
+
+
+def _cells_table(spark, cells: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"cell": pa.array(cells.view(np.int64))}))
+
+
+def class_links(docs: DataFrame, classes: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that join the same components as all links do.
+
+    ``classes`` has class, rep, text_hash and n; ``frequent`` has cell and sets. The order of pivots has no part in the result.
+    """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    moved, links, texts, source = np.empty(0, np.uint64), [], None, docs
+    moved, links, label, bucketed, source = _sorted_cells(frequent), [], None, None, docs
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal label
+        links.append(written(_verified(pairs, bucketed.table), "links"))
+        old = [] if label is None else [label.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        label = components(_joined([*old, links[-1]]))
+
     for at in range(PASSES):
         rows = written(shared_cells(source, moved, buckets), "cells")
-        regions = written(rows.groupBy("cell").agg(F.min("class").alias("pivot"), F.count("*").alias("sets")), "regions")
-        if texts is None:
+        least = F.min(F.struct("class", "n"))
+        regions = written(rows.groupBy("cell").agg(least.alias("p"), F.count("*").alias("sets")).select("cell", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"), "sets"), "regions")
+        if bucketed is None:
             some = rows.select("class").distinct().join(classes, "class").select("class", "rep", F.col("text_hash").alias("__h"))
-            texts = written(docs.join(some, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("__h"))).select("class", "text").dropDuplicates(["class"]), "texts")
-        windows = rows.groupBy("class").agg(F.collect_list("cell").alias("cells")).join(classes.select("class", "n"), "class")
-        windows = written(windows, "windows")
-        large = regions.where(F.col("sets") > SMALL)
-        fresh = large.select("cell", "sets").where(F.lit(at < PASSES - 1))
-        if len(moved):
-            # pivots that were moved and are back in windows belong to groups of near copies
-            known = spark.createDataFrame(pa.table({"__cell": pa.array(moved.view(np.int64))}))
-            fresh = fresh.join(known, F.col("cell") == F.col("__cell"), "left_anti")
-        fresh = fresh.orderBy(F.desc("sets"), "cell").limit(MOST_MOVED).select("cell").toArrow().column("cell").to_numpy()
-        again = spark.createDataFrame(pa.table({"cell": pa.array(fresh)})) if len(fresh) else None
+            bucketed = Bucketed(docs.join(some, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("__h"))).select("class", "text").dropDuplicates(["class"]), "class")
+        # with the pivots; pairs that share too few regions of one pivot are left to the comparison of the rest
+        star = rows.join(regions, "cell").where("class != pivot").groupBy("class", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("pivot_n").alias("m"))
+        verify(star.where(_within(F.col("n"), F.col("m"), F.col("c"))).select(F.col("class").alias("a"), F.col("pivot").alias("b")))
+        regions = written(_with_rest(rows, regions, label), "regions")
+        large = regions.where(F.col("rest") > SMALL)
+        fresh = np.empty(0, np.uint64)
+        if at < PASSES - 1:
+            # large rests come from passages; pivots moved before that are back in windows belong to groups of near copies
+            fresh = _sorted_cells(large.join(_cells_table(spark, moved), "cell", "left_anti"))
+        again = _cells_table(spark, fresh) if len(fresh) else None
         here = regions if again is None else regions.join(again, "cell", "left_anti")
-
-        members = rows.join(here, "cell")
-        pairs = members.where("class != pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-        found = written(_verified(written(_possible(pairs, windows), "pairs"), texts), "links")
-        links.append(found)
-        label = components(_joined(links))
-        members = written(_with_component(members, label), "members")
-        for _ in range(ROUNDS):
-            # further pivots for what is left of large regions
-            open_ = members.where(F.col("sets") > SMALL)
-            heads = _with_component(here.where(F.col("sets") > SMALL).select("cell", F.col("pivot").alias("class")), label).select("cell", F.col("component").alias("__head"))
-            left = open_.join(heads, "cell").where(F.col("component") != F.col("__head"))
-            least = left.groupBy("cell").agg(F.min("class").alias("next"))
-            pairs = open_.join(least, "cell").where("class != next").select(F.col("class").alias("a"), F.col("next").alias("b")).distinct()
-            more = written(_possible(pairs, windows), "pairs")
+        for turn in range(ROUNDS):
+            if here.where(F.col("rest") > SMALL).isEmpty():
+                break
+            # further pivots for large rests: each set of such a rest is compared with some pivots of the largest region it is in
+            deep = _members(rows, here.where(F.col("rest") > SMALL), label)
+            home = deep.groupBy("class").agg(F.max_by("cell", F.struct("sets", "cell")).alias("cell"), F.first("n").alias("n"), F.bool_or("in_rest").alias("in_rest"))
+            order = Window.partitionBy("cell").orderBy(F.xxhash64("class", F.lit(turn)), "class")
+            heads = home.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FURTHER).select("cell", F.col("class").alias("next"), F.col("n").alias("m"))
+            pairs = home.where("in_rest").join(heads, "cell").where("class != next")
+            near = F.least("n", "m") * LINK[1] >= F.greatest("n", "m") * LINK[0]
+            more = written(pairs.where(near).select(F.col("class").alias("a"), F.col("next").alias("b")), "pairs")
             if more.isEmpty():
                 break
-            found = written(_verified(more, texts), "links")
-            links.append(found)
-            label = components(_joined(links))
-            members = written(_with_component(members.drop("component"), label), "members")
-        x, y = (members.select("cell", F.col("class").alias(k), F.col("component").alias(f"component_{k}"), "pivot") for k in ("a", "b"))
-        rest = x.join(y.drop("pivot"), "cell").where("a > b AND component_a != component_b AND b != pivot").select("a", "b").distinct()
-        found = written(_verified(written(_possible(rest, windows), "pairs"), texts), "links")
-        links.append(found)
+            verify(more)
+            here = written(_with_rest(rows, here, label), "regions")
+        # the rest against all of its region that is in other components; a pair is counted in every region it shares. Pairs that
+        # share a region dealt anew meet again there
+        rest = written(_members(rows, here.where("rest > 0"), label), "members")
+        a = rest.where("in_rest").select("cell", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
+        b = rest.select("cell", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), F.col("in_rest").alias("both"))
+        near = F.least("n_a", "n_b") * LINK[1] >= F.greatest("n_a", "n_b") * LINK[0]
+        # which of a pair is in the rest may differ between regions, so it is counted without order
+        met = a.join(b, "cell").where("component_a != component_b AND (NOT both OR a > b)").where(near)
+        pairs = met.groupBy(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).agg(F.count("*").alias("c"), F.min(F.struct("n_a", "n_b")).alias("n"))
+        pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "c", "n.n_a", "n.n_b")
+        verify(written(pairs.where(_within(F.col("n_a"), F.col("n_b"), F.col("c"))).select("a", "b"), "pairs"))
         if again is None:
             break
-        moved = np.unique(np.concatenate([moved, fresh.view(np.uint64)]))
-        affected = rows.join(again, "cell", "left_semi").select("class").distinct()
-        source = texts.join(affected, "class", "left_semi")
+        moved = np.union1d(moved, fresh)
+        source = bucketed.table.join(rows.join(again, "cell", "left_semi").select("class").distinct(), "class", "left_semi")
+    bucketed.drop()
     return _joined(links)
 
 
+def _sorted_cells(cells: DataFrame) -> np.ndarray:
+    """The most frequent ``MOST_MOVED`` of (cell, sets), sorted by cell."""
+    return np.sort(cells.orderBy(F.desc("sets"), "cell").limit(MOST_MOVED).select("cell").toArrow().column("cell").to_numpy().view(np.uint64))
+
+
+def _cells_table(spark, cells: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"cell": pa.array(cells.view(np.int64))}))
+
+
+def _labels(label: DataFrame) -> DataFrame:
+    """(node, component) of all that are linked with something."""
+    return label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _with_rest(rows: DataFrame, regions: DataFrame, label: DataFrame) -> DataFrame:
+    """(cell, sets, head, rest): a region's most common component, and the number of sets that are not in it."""
+    linked = rows.join(_labels(label), F.col("class") == F.col("node")).groupBy("cell", "component").agg(F.count("*").alias("k"))
+    heads = linked.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("h"))
+    # without links in it, a region's sets are components of their own, and any of them may be the head
+    return regions.select("cell", "sets", "pivot").join(heads, "cell", "left").select("cell", "sets", "pivot", F.coalesce("h.component", "pivot").alias("head"), (F.col("sets") - F.coalesce("h.k", F.lit(1))).alias("rest"))
+
+
+def _members(rows: DataFrame, regions: DataFrame, label: DataFrame) -> DataFrame:
+    """(cell, class, n, component, in_rest, sets) of the sets in regions."""
+    m = rows.join(regions.select("cell", "sets", "head"), "cell").join(_labels(label), F.col("class") == F.col("node"), "left")
+    m = m.select("cell", "class", "n", F.coalesce("component", "class").alias("component"), "head", "sets")
+    return m.withColumn("in_rest", F.col("component") != F.col("head")).drop("head")
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id: one row per row of ``docs``."""
     docs = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    signs = written(signatures(docs), "signatures")
+    signed = written(signatures(docs), "signatures")
+    signs = signed.where("cell IS NULL").select("doc_id", "text_hash", "n", "class")
+    frequent = signed.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= FREQUENT)
     least = signs.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("n").alias("n"))
     classes = written(least.select("class", F.col("r.doc_id").alias("rep"), "r.text_hash", "n"), "classes")
-    links = class_links(docs, classes)
+    links = class_links(docs, classes, frequent)
     label = _with_component(classes, components(links))
     least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = written(label.join(least, "component").select(F.col("class").alias("__class"), "component_id"), "components")

@@ -34,15 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, utf8, written
-from .words import WordHashes, mixed
+from .common import documents, released, slices, utf8, written
+from .words import HASHES, mixed
 
 #: Words of a window.
 WINDOW = 13
 #: Bytes of text in a chunk.
 CHUNK = 4 << 20
 
-_hashes = WordHashes()
 _U = np.uint64
 
 
@@ -132,7 +131,7 @@ class Chunk:
         self.words = [(t or b"").split() for t in utf8(rows.column("text"))]
         self.counts = np.array([len(w) for w in self.words], np.int64)
         self.first = np.cumsum(self.counts) - self.counts
-        h = _hashes.of([w for words in self.words for w in words])
+        h = HASHES.of([w for words in self.words for w in words])
         ids = rows.column("doc_id").to_pylist()
         inside = np.ones(len(h), bool)
         for f, c, i in zip(self.first, self.counts, ids):
@@ -235,6 +234,7 @@ def _ask(chunks: DataFrame, message: Callable, answer: Callable, buckets: int) -
                 one = batch.slice(row, 1)
                 sent = list(message(one))
                 yield pa.RecordBatch.from_arrays([pa.array([one.column("chunk")[0].as_py()] * len(sent), pa.int64()), pa.array([b for b, _ in sent], pa.int32()), pa.array([m for _, m in sent], pa.binary())], ["chunk", "bucket", "message"])
+        released()
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task has whole buckets, but may have several of them
@@ -246,6 +246,7 @@ def _ask(chunks: DataFrame, message: Callable, answer: Callable, buckets: int) -
             # what a chunk sends to a negative bucket is a note to itself
             bits = [m for _, m in records] if b < 0 else [np.packbits(x).tobytes() for x in answer([m for _, m in records])]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in records], pa.int64()), pa.array([b] * len(records), pa.int32()), pa.array(bits, pa.binary())], ["chunk", "bucket", "bits"])
+        released()
 
     replies = chunks.mapInArrow(send, "chunk long, bucket int, message binary").repartition(buckets, "bucket").mapInArrow(reply, "chunk long, bucket int, bits binary")
     # a chunk has at most one answer from each bucket
@@ -320,6 +321,7 @@ def _removed(docs: DataFrame, output: Callable[[Chunk, list[np.ndarray]], pa.Rec
                 np.add.at(edges, chunk.starts[at[gone]] + WINDOW, -1)
                 keep = np.cumsum(edges)[:total] == 0
                 yield output(chunk, [keep[f : f + c] for f, c in zip(chunk.first, chunk.counts)])
+        released()
 
     return chunks.join(smaller, F.col("chunk") == F.col("__c")).drop("__c").mapInArrow(remove, schema)
 

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, released
 
 MARK = "▁"
 #: Entries of a worker's table of encoded cuts; the table starts anew when it is full.
-KEPT = 300_000
+KEPT = 200_000
 
 
 def default_model() -> str:
@@ -131,7 +131,7 @@ class Encoder:
                 pair = before << 32 | token
                 ok = fits.get(pair)
                 if ok is None:
-                    if len(fits) >= 4 * KEPT:
+                    if len(fits) >= 2 * KEPT:
                         fits.clear()
                     ok = fits[pair] = self._compatible(before, token)
                 if not ok:
@@ -244,6 +244,7 @@ def encode(docs: DataFrame, model: str | None = None, id_column: str = "doc_id",
             if not keep_ids:
                 del rows["ids"], rows["decoded"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in rows.items()]], ["doc_id", *rows])
+        released()
 
     more = "ids string, ids_sha256 string, decoded string, decoded_sha256 string" if keep_ids else "ids_sha256 string, decoded_sha256 string"
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, {more}")

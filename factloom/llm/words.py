@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Entries of a worker's table of word hashes; it starts anew when full.
-KEPT = 400_000
+KEPT = 300_000
 
 
 class WordHashes(dict):
@@ -28,6 +28,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One table for all operators that hash words as they are.
+HASHES = WordHashes()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -41,5 +45,6 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        out = mixed(out + h[k : len(h) - n + 1 + k] + np.uint64(0x9E3779B97F4A7C15 + k & 0xFFFFFFFFFFFFFFFF))
-    return out
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[k : len(h) - n + 1 + k]
+    return mixed(out + np.uint64(n))
