@@ -565,6 +565,16 @@ def reach(spark, d):
     return fixpoint.reachable(_steps(spark, d), _first_users(spark, d))
 
 
+def _all_users(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("user_id").where("user_id IS NOT NULL").distinct().select(F.col("user_id").alias("source"), F.col("user_id").alias("node"))
+
+
+@query()
+def reach_all(spark, d):
+    """``reach`` from every user."""
+    return fixpoint.reachable(_steps(spark, d), _all_users(spark, d))
+
+
 _PARENTS = "SELECT o_orderkey AS node, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders"
 
 
@@ -586,13 +596,23 @@ _LABELLED = f"""SELECT DISTINCT src, dst, CASE event_type WHEN 'click' THEN 'pro
       WHERE e.op <> 'proj' OR (len(r.path) > 0 AND r.path[1] = e.field)) SELECT source, node, array_to_string(path, '.') AS path FROM r"""
 )
 def reach_k2(spark, d):
+    return _field_paths(spark, d, _first_users(spark, d))
+
+
+def _field_paths(spark, d, users, with_alias=True) -> DataFrame:
     op = F.when(F.col("event_type") == "click", "proj").when(F.col("event_type") == "view", "inject").otherwise("plain")
     e = _steps(spark, d).select("src", "dst", op.alias("op"), (F.col("src") % 3).cast("int").alias("field"), (F.col("event_type") == "purchase").alias("alias"), "event_id")
     edges = e.groupBy("src", "dst", "op", "field").agg(F.min_by("alias", "event_id").alias("alias"), F.min("event_id").alias("ord"))
-    states = fixpoint.reach_paths(edges, _first_users(spark, d).withColumn("depth", F.lit(0)))
+    states = fixpoint.reach_paths(edges, users.withColumn("depth", F.lit(0)), with_alias=with_alias)
     return states.select("source", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
 
 
+@query()
+def reach_k2_all(spark, d):
+    """``reach_k2`` from every user; the states alone, as no column tells the alias bit."""
+    return _field_paths(spark, d, _all_users(spark, d), with_alias=False)
+
+
 @query()
 def prefix_fixpoint(spark, d):
     """Prefixes along the trie of URL segments: a host seeds the empty prefix, each path its segments."""
