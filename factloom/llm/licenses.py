@@ -1,12 +1,13 @@
-"""License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
+"""License scans: MinHash bands retrieve templates, exact shingle containment verifies them in windows at every start.
 
-Templates of similar length share a window: as many words as the longest of them and a stride more, so that every passage
-of that length lies whole in some window. For a template of t shingles of which a share c is in a window of n shingles,
-their Jaccard similarity is at least c * t / (n + (1 - c) * t); the number of one-row bands is what keeps the chance of
-sharing no band under ``MISS``. Templates are few and fixed, so they travel with the code, and documents are not shuffled.
+Templates of similar length share a window: as many words as the longest of them and a stride more, which leaves room for
+words that were inserted. A band is a template's least shingle under one order. There are as many bands as keep the chance
+of a window sharing none under ``MISS``, and more until every template has more different least shingles than a match can
+lack, so that no match is lost. Templates are few and fixed, so they travel with the code, and documents are not shuffled.
 
-Words are lower-cased (A-Z) and stripped of ASCII punctuation at both ends. Windows with a band in common with a template
-are verified by the exact share of the template's distinct shingles that they hold.
+Words are lower-cased (A-Z) and stripped of ASCII punctuation at both ends. Where a document has a least
+shingle of a template, the share of the template's distinct shingles is counted in every window that starts with one of them;
+other windows hold no more. Of windows with the largest share the first is reported.
 
 Defined results: null text has no words and no license; a template shorter than a shingle is one shingle of all its words;
 repeated rows are scanned alike; columns besides doc_id and text are dropped.
@@ -78,8 +79,13 @@ class Scanner:
             n = window - SHINGLE + 1
             similar = min(containment * len(s) / (n + (1 - containment) * len(s)) for _, _, s in group)
             bands = math.ceil(math.log(MISS) / math.log(1 - similar))
-            seeds = mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            least = [[own[mixed(own ^ seed).argmin()] for seed in seeds] for _, _, own in group]
+            while True:
+                seeds = mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                least = [[own[mixed(own ^ seed).argmin()] for seed in seeds] for _, _, own in group]
+                # a match holds at least one of its template's least shingles if these outnumber what it may lack
+                if all(len(set(x)) > len(own) - math.ceil(containment * len(own)) for x, (_, _, own) in zip(least, group)):
+                    break
+                bands += 1
             self.groups.append((window, stride, seeds, np.array(least), np.unique(least), [(name, own) for _, name, own in group]))
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[str, int, float]]]:
@@ -89,25 +95,36 @@ class Scanner:
         found: dict[str, tuple[float, int]] = {}
         if len(h) >= SHINGLE:
             s = shingles(h, SHINGLE)
-            for window, stride, seeds, least, anchors, templates in self.groups:
-                # the hashes are one to one: a window has a template's least value only with the shingle that has it
-                hits = np.flatnonzero(np.isin(s, anchors))
-                if not hits.size:
+            for window, _, _, least, anchors, templates in self.groups:
+                there = s[np.isin(s, anchors)]
+                if not there.size:
                     continue
-                n = window - SHINGLE + 1
-                # windows start at multiples of the stride, until one reaches the last shingle
-                first = np.maximum(0, -(-(hits - n + 1) // stride))
-                starts = np.unique(np.concatenate([np.arange(f, h // stride + 1) for f, h in zip(first, hits)])) * stride
-                for a in starts.tolist():
-                    here = s[a : a + n]
-                    signature = np.array([here[mixed(here ^ seed).argmin()] for seed in seeds])
-                    for t in np.flatnonzero((least == signature).any(axis=1)):
-                        name, own = templates[t]
-                        share = float(np.isin(own, here).mean())
-                        if share >= self.containment and (name not in found or share > found[name][0]):
-                            found[name] = (share, a)
+                for t in np.flatnonzero(np.isin(least, there).any(axis=1)):
+                    name, own = templates[t]
+                    share, a = self.best(s, own, window - SHINGLE + 1)
+                    if share >= self.containment:
+                        found[name] = (share, a)
         return len(words), sorted((name, a, share) for name, (share, a) in found.items())
 
+    def best(self, s: np.ndarray, own: np.ndarray, n: int) -> tuple[float, int]:
+        """The largest share of ``own`` in n shingles of ``s`` that follow each other, and the first start of such ones."""
+        at = np.flatnonzero(np.isin(s, own))
+        which = np.searchsorted(own, s[at]).tolist()
+        at = at.tolist()
+        if len(set(which)) / len(own) < self.containment:
+            return 0.0, 0
+        count, held, most, start, end = [0] * len(own), 0, 0, 0, 0
+        for i, a in enumerate(at):
+            while end < len(at) and at[end] < a + n:
+                count[which[end]] += 1
+                held += count[which[end]] == 1
+                end += 1
+            if held > most:
+                most, start = held, a
+            count[which[i]] -= 1
+            held -= count[which[i]] == 0
+        return most / len(own), start
+
 
 _scanners: dict[tuple, Scanner] = {}
 
