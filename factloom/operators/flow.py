@@ -1,7 +1,7 @@
 """Value-flow graphs of functions, built from the tables of a program.
 
 Every kind of instruction is one projection that yields edges (fn, src, dst, op, field, alias); the graph is their union.
-Calls are barriers: their arguments and results are ports, which the field-sensitive reachability of
+Calls are barriers: their arguments and results are ports (:func:`call_ports`), which the field-sensitive reachability of
 :mod:`factloom.plans.fixpoint` connects to parameters and returns.
 """
 
@@ -91,6 +91,23 @@ def return_vertices(instr: DataFrame, operand: DataFrame) -> DataFrame:
     return r.select("fn", F.lit("OUT_RETURN").alias("kind"), F.col("pos").alias("index"), F.col("arg").alias("value"), F.lit(None).cast("string").alias("type")).distinct()
 
 
+def call_ports(sites: DataFrame, calls: DataFrame, instr: DataFrame, operand: DataFrame) -> DataFrame:
+    """Arguments and results of call sites: fn, kind, index, value, type, callsite.
+
+    A call's operand 0 is what is called, which of an invoke is the receiver and its argument 0; the others are arguments in
+    order. Of a result of several values, each Extract is a port of its own, by its ``field_idx``.
+    """
+    keys = ["fn", "block", "ord"]
+    c = calls.select(*keys, "is_invoke").join(sites.select(*keys, F.col("id").alias("callsite")), keys)
+    no_type = F.lit(None).cast("string").alias("type")
+    index = F.when(F.col("is_invoke"), F.col("pos")).otherwise(F.col("pos") - 1)
+    args = c.join(operand, keys).withColumn("index", index).where("index >= 0").select("fn", F.lit("CALL_ARG_PORT").alias("kind"), "index", "value", no_type, "callsite")
+    made = c.join(instr.select(*keys, "value", "type"), keys).where("value IS NOT NULL").select("fn", "callsite", "value", "type")
+    taken = operands(instr.where("op = 'Extract'"), operand).select("fn", F.col("arg").alias("value"), F.col("field_idx").alias("part"), F.col("value").alias("part_value"), F.col("type").alias("part_type"))
+    results = made.join(taken, ["fn", "value"], "left").select("fn", F.lit("CALL_RESULT_PORT").alias("kind"), F.coalesce("part", F.lit(0)).alias("index"), F.coalesce("part_value", "value").alias("value"), F.when(F.col("part_value").isNull(), F.col("type")).otherwise(F.col("part_type")).alias("type"), "callsite")
+    return args.unionByName(results).distinct()
+
+
 def call_sites(calls: DataFrame, functions: DataFrame, targets: DataFrame, types: DataFrame | None = None, options: Options = Options()) -> DataFrame:
     """Call sites in order, with kind, callee, opaqueness and confidence.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, ident, paths
 from ..operators import dispatch, flow, satisfaction
-from ..options import Options
+from ..options import Options, UsageError
 from ..sources import program
 from . import fixpoint
 from .storage import written
@@ -26,8 +28,23 @@ def call_edges(tables: dict[str, DataFrame], options: Options) -> DataFrame:
     return satisfaction.class_hierarchy(calls.withColumnRenamed("name", "method_id"), pairs, methods).select("fn", "block", "ord", F.col("decl_fn").alias("callee"))
 
 
+#: Options that no step of an extraction reads; those with a default of True are named in README.
+UNREAD = (
+    "base", "head", "verbose", "snapshot_store", "library_writeback", "heap_slots", "heap_slots_scope", "heap_iface_narrow", "heap_iface_identity", "heap_iface_drop", "error_results",
+    "error_results_strict", "canonical_instance_ids", "surface_reads", "http_routes", "http_calls", "topic_cells", "http_seed_request", "dep_impls", "dep_bodies", "dependency_sums",
+)
+
+
+def reject_unread(options: Options) -> None:
+    """Raises if an option asks for what an extraction doesn't do."""
+    asked = [f.name for f in fields(Options) if f.name in UNREAD and getattr(options, f.name) != f.default] + (["mode"] if options.mode != "main" else [])
+    if asked:
+        raise UsageError(f"build does not do anything with {', '.join(asked)}")
+
+
 def extract(spark: SparkSession, folder: str, options: Options = Options()) -> dict[str, DataFrame]:
     """Tables function, callsite, vertex and edge of the program in ``folder``."""
+    reject_unread(options)
     tables = program.read(spark, folder)
     mocks = program.mock_packages(tables["pkg"], tables["src_file"], classify.segments(options.mock_paths))
     packages = tables["pkg"] if options.include_mocks else tables["pkg"].join(mocks, "pkg_path", "left_anti")
@@ -54,11 +71,17 @@ def extract(spark: SparkSession, folder: str, options: Options = Options()) -> d
     labelled = graph.select(value("src").alias("src"), value("dst").alias("dst"), "op", "field", "alias", (F.col("block").cast("long") * 1_000_000 + F.col("ord")).alias("ord"))
     inputs = flow.input_vertices(own("param"), own("free_var"), options)
     outputs = flow.return_vertices(own("instr"), own("operand")).unionByName(flow.by_ref_outputs(own("param"), tables["type"], options))
-    vertices = written(inputs.unionByName(outputs).select("fn", "kind", "index", "value", "type"))
-    sources = vertices.where(F.col("kind").startswith("IN_")).select(F.concat_ws("\u0001", "fn", "kind", F.col("index").cast("string")).alias("source"), value("value").alias("node"), F.lit(0).alias("depth"))
-    sinks = vertices.where(F.col("kind").startswith("OUT_")).select(value("value").alias("node"), "fn", "kind", "index")
+    ports = flow.call_ports(sites, own("call"), own("instr"), own("operand"))
+    here = inputs.unionByName(outputs).select("fn", "kind", "index", "value", "type").withColumn("callsite", F.lit(None).cast("int"))
+    vertices = written(here.unionByName(ports))
+    # values enter by parameters and results of calls, and leave by returns, by-ref slots and arguments of calls
+    source = F.concat_ws("\u0001", "fn", "kind", F.col("index").cast("string"), F.coalesce(F.col("callsite").cast("string"), F.lit("")))
+    sources = vertices.where(F.col("kind").startswith("IN_") | (F.col("kind") == "CALL_RESULT_PORT")).select(source.alias("source"), value("value").alias("node"), F.lit(0).alias("depth")).distinct()
+    sinks = vertices.where(F.col("kind").startswith("OUT_") | (F.col("kind") == "CALL_ARG_PORT")).select(value("value").alias("node"), "fn", F.col("kind").alias("to_kind"), F.col("index").alias("to_index"), F.col("callsite").alias("to_callsite"))
     states = fixpoint.reach_paths(labelled, sources)
-    reached = states.join(sinks, "node").select("fn", F.split("source", "\u0001")[2].cast("int").alias("from_param"), F.col("kind").alias("to_kind"), F.col("index").alias("to_index"), "path", "via_alias").distinct()
+    part = F.split("source", "\u0001")
+    index = part[2].cast("int")
+    reached = states.join(sinks, "node").select("fn", F.when(part[1].startswith("IN_"), index).alias("from_param"), part[1].alias("from_kind"), index.alias("from_index"), F.when(part[3] != "", part[3].cast("int")).alias("from_callsite"), "to_kind", "to_index", "to_callsite", "path", "via_alias").distinct()
     return {"function": functions, "callsite": sites, "vertex": vertices, "edge": reached}
 
 
