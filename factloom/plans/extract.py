@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +17,17 @@ from .storage import written
 
 
 def call_edges(tables: dict[str, DataFrame], options: Options) -> DataFrame:
-    """(fn, block, ord, callee): the call graph that was given, or the class hierarchy's answer; none with dispatch off."""
+    """(fn, block, ord, callee): the call graph that was given, or the class hierarchy's answer; none with dispatch off.
+
+    Type flow is not computed here: 'vta' without a call graph warns and takes the class hierarchy, which names more targets.
+    """
     given = tables["cg_edge"].select(F.col("caller").alias("fn"), "block", "ord", "callee")
     if options.dispatch in ("", "off"):
         return given.limit(0)
     if options.dispatch == "vta" and not given.isEmpty():
         return given
+    if options.dispatch == "vta":
+        warnings.warn("dispatch 'vta' without a call graph (cg_edge): targets are those of the class hierarchy", stacklevel=2)
     pairs = satisfaction.satisfies(tables["method"], tables["iface_method"])
     calls = tables["call"].where("is_invoke").select("fn", "block", "ord", F.col("iface_type").alias("iface_key"), F.col("method").alias("name"))
     methods = tables["method"].select("type_key", F.col("name").alias("method_id"), "decl_fn")
