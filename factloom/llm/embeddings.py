@@ -7,10 +7,10 @@ double precision, a block of a list against a block of it at a time, so a long l
 pair ever leaves its task: a task returns each vector's links and the least vector it is connected to.
 
 Equal vectors are one entry with a weight. The number of pivots grows with the square root of the vectors up to
-``MOST_PIVOTS``. The index is approximate: pairs that share no pivot are missed; tests measure the recall.
+``MOST_PIVOTS``; each length of vectors has pivots of its own. The index is approximate: pairs that share no pivot are missed; tests measure the recall.
 
-Defined results: vectors that are null, zero, of another length than most pivots or hold null or non-finite components link
-with nothing; rows without vec_id link with nothing and have no component; rows with equal ids and vectors are entries of
+Defined results: vectors that are null, zero or hold null or non-finite components link with nothing, and vectors link with
+those of their length alone; rows without vec_id link with nothing and have no component; rows with equal ids and vectors are entries of
 their own; an empty table gives an empty one.
 """
 
@@ -38,18 +38,19 @@ APART = 0.8
 BLOCK = 1024
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, unit vectors) of the rows with a usable vector of the most common length."""
-    values = [(k, v) for k, v in enumerate(column.to_pylist()) if v and None not in v]
-    if not values:
-        return np.empty(0, int), np.empty((0, 0))
-    lengths = [len(v) for _, v in values]
-    n = max(set(lengths), key=lambda x: (lengths.count(x), x))
-    at = np.array([k for k, v in values if len(v) == n])
-    x = np.array([v for _, v in values if len(v) == n], float)
-    norm = np.linalg.norm(x, axis=1)
-    ok = np.isfinite(x).all(axis=1) & (norm > 0) & np.isfinite(norm)
-    return at[ok], x[ok] / norm[ok][:, None]
+def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, unit vectors) of the rows with a usable vector, for each length of vectors."""
+    by_length: dict[int, list[tuple[int, list]]] = {}
+    for k, v in enumerate(column.to_pylist()):
+        if v and None not in v:
+            by_length.setdefault(len(v), []).append((k, v))
+    for n in sorted(by_length):
+        at = np.array([k for k, _ in by_length[n]])
+        x = np.array([v for _, v in by_length[n]], float)
+        norm = np.linalg.norm(x, axis=1)
+        ok = np.isfinite(x).all(axis=1) & (norm > 0) & np.isfinite(norm)
+        if ok.any():
+            yield at[ok], x[ok] / norm[ok][:, None]
 
 
 def _entries(vectors: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def _entries(vectors: DataFrame) -> DataFrame:
         for batch in batches:
             digests: list[str | None] = [None] * batch.num_rows
             raw = batch.column("embedding").to_pylist()
-            for k in _matrix(batch.column("embedding"))[0]:
+            for k in (k for at, _ in _matrices(batch.column("embedding")) for k in at):
                 digests[k] = hashlib.blake2b((np.array(raw[k], float) + 0.0).tobytes(), digest_size=16).hexdigest()
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(digests, pa.string())], ["vec_id", "digest"])
 
@@ -77,24 +78,26 @@ def _apart(x: np.ndarray) -> np.ndarray:
     return taken
 
 
-def _lists(distinct: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """pivot, rep, weight, pivots (ascending), unit vector; a row for each of a vector's nearest pivots."""
+def _lists(distinct: DataFrame, pivots: dict[int, tuple[int, np.ndarray]], nearest: int) -> DataFrame:
+    """pivot, rep, weight, pivots (ascending), unit vector; a row for each of a vector's nearest pivots.
+
+    ``pivots`` has for each length of vectors the number of the first of its pivots, and the pivots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                at, x = _matrix(batch.column("embedding"))
-                if not len(at) or x.shape[1] != pivots.shape[1]:
-                    continue
-                near = x @ pivots.T
-                k = min(nearest, len(pivots))
-                order = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
-                rep, weight = (np.array(batch.column(c).to_pylist())[at] for c in ("rep", "weight"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(order.ravel(), pa.int32()), pa.array(rep.repeat(k), pa.int64()), pa.array(weight.repeat(k), pa.int64()), pa.array([p for o in order.astype(np.int32) for p in [o.tobytes()] * k], pa.binary()), pa.array([v for u in x for v in [u.tobytes()] * k], pa.binary())],
-                    ["pivot", "rep", "weight", "pivots", "unit"],
-                )
+                for at, x in _matrices(batch.column("embedding")):
+                    first, of_length = pivots[x.shape[1]]
+                    near = x @ of_length.T
+                    k = min(nearest, len(of_length))
+                    order = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1) + first
+                    rep, weight = (np.array(batch.column(c).to_pylist())[at] for c in ("rep", "weight"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(order.ravel(), pa.int32()), pa.array(rep.repeat(k), pa.int64()), pa.array(weight.repeat(k), pa.int64()), pa.array([p for o in order.astype(np.int32) for p in [o.tobytes()] * k], pa.binary()), pa.array([v for u in x for v in [u.tobytes()] * k], pa.binary())],
+                        ["pivot", "rep", "weight", "pivots", "unit"],
+                    )
 
     return distinct.mapInArrow(run, "pivot int, rep long, weight long, pivots binary, unit binary")
 
@@ -150,9 +153,13 @@ def link(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST) ->
     lists = None
     if n:
         distinct = written(vectors.join(classes, F.col("vec_id") == F.col("rep")).join(entries.select(F.col("vec_id").alias("__v"), F.col("digest").alias("__d")).distinct(), (F.col("__v") == F.col("vec_id")) & (F.col("__d") == F.col("digest"))).select("rep", "weight", "digest", "embedding").dropDuplicates(["rep", "digest"]), "distinct")
-        m = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(PER_ROOT * math.sqrt(n))))
-        chosen = distinct.orderBy(F.md5("digest"), "rep").limit(m).select("embedding").toArrow()
-        pivots = _apart(_matrix(chosen.column("embedding").combine_chunks())[1])
+        # each length of vectors has pivots of its own
+        pivots, first = {}, 0
+        for length, vectors_of_it in sorted(distinct.groupBy(F.size("embedding")).count().toLocalIterator()):
+            m = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(PER_ROOT * math.sqrt(vectors_of_it))))
+            chosen = distinct.where(F.size("embedding") == length).orderBy(F.md5("digest"), "rep").limit(m).select("embedding").toArrow()
+            pivots[length] = first, _apart(next(_matrices(chosen.column("embedding").combine_chunks()))[1])
+            first += len(pivots[length][1])
         lists = written(_lists(distinct, pivots, nearest), "lists")
         blocks = lists.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = lists.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
