@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-A bounded sample of vectors serves as reference points (pivots). Each vector is described by its ``NEAREST`` nearest pivots
-in order and entered in the inverted list of each. Two vectors are compared if they share a pivot; a pair that shares several
+A bounded sample of vectors serves as reference points (pivots). Each vector is described by its ``NEAREST`` nearest pivots,
+as a set without their order, and entered in the inverted list of each. Two vectors are compared if they share a pivot; a pair that shares several
 is counted in the list of the least of them alone, so link counts are sums over lists. Pairs are verified by their cosine in
 double precision, a block of a list against a block of it at a time, so a long list is many tasks of a bounded size and no
 pair ever leaves its task: a task returns each vector's links and the least vector it is connected to.
