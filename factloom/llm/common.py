@@ -44,20 +44,24 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Bucketed:
-    """``df`` as a table in the shared folder, bucketed by a key: joins on the key shuffle the other side alone."""
-
-    def __init__(self, df: DataFrame, key: str):
-        self.spark = df.sparkSession
-        self.path, self.name = f"{shared_dir(self.spark)}/bucketed", f"factloom_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", self.path).saveAsTable(self.name)
-        self.table = self.spark.table(self.name)
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def buckets_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
+    """Buckets for what a task gathers in memory: as many as shuffle partitions, or more if ``df`` reads more files' bytes than that."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # a plan without statistics says Long.MaxValue or so
+    return max(n, min(-(-size // bytes_each), 1 << 20)) if size < 1 << 60 else n
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

@@ -6,12 +6,33 @@ Spark can split. Each round is written to the shared folder; the rounds grow wit
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+def least_connected(m: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least number below m that each number is connected to by the edges (u, v); for edges of one task."""
+    label = np.arange(m)
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return label
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

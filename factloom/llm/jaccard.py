@@ -1,26 +1,30 @@
 """N-gram Jaccard join in the metric space of shingle sets.
 
-Jaccard distance is a metric, and single shingles serve as its pivots: the set of a document is nearest to the pivots that it
-holds, and of those to the first in a global order. Its triangle-inequality window has a closed form here: a partner within
-the radius keeps three quarters of the set, so it shares one of the first quarter plus one of its shingles, and a document is
-replicated to the regions of those pivots and no others. Every pair within the radius meets in a region.
+Jaccard distance is a metric, but most documents share nothing, are at distance one from each other and can't be told apart by
+distance to any pivot. So documents that can have no partner are set aside first, by a separate rule, and what is left falls into
+regions that share nothing with each other:
 
-Regions are then joined recursively:
+1. A partner within the radius holds three quarters of a set. A text whose set shares less than that with the rest of the corpus
+   has no partner. One pass over the texts sends the hashes of sets to buckets, which answer how many of a set's are in other sets.
+   Of a set, only the ``NEEDED`` and so many least as cover them are sent, which keeps the rule exact.
+2. The sets of the others (candidates) are ordered rarest shingle first. Two partners share one of the first quarter plus one.
+   Candidates that share one of those are chained into regions by connected components; partners never lie in two regions.
 
-* A region of one set has no pairs, which settles most documents.
-* In each region the least set becomes the pivot of all others. Pairs with the pivot are one per member; those that may be
-  within the radius are verified, and what is linked becomes one component.
-* In regions of up to ``SMALL`` sets, pairs of different components are compared.
-* Larger regions come from passages that many documents share. Their pivots move to the end of the order, and the documents
-  in them are dealt to regions anew by their rarer shingles. What still is large are groups of near copies; they get further
-  pivots of their own among those not yet linked, until few sets are left to compare.
+Regions are joined in the metric space, whole sets at hand, as 64-bit hashes:
 
-Equal sets are one class. Before texts are compared, the overlap of two windows bounds their whole overlap, and pairs below the
-radius by that bound are dropped, which is exact. Sets with a pivot in common that are in one component already need no
-comparison. Texts are compared by their whole shingle sets, as 64-bit hashes.
+* Documents spread in the region become its pivots; all distances to them are taken, sets within the radius are linked.
+* A set belongs to the Voronoi cell of its nearest pivot. It is replicated to the cell of another pivot if the triangle inequality
+  lets a member of that cell be within the radius: its distance to that pivot exceeds that to its own by two radii at most, and the
+  cell's greatest distance by one at most.
+* Cells are joined recursively. A cell that is hardly smaller than what it came from can't be separated by distances; there each set
+  that is not in the largest component is compared with all whose distances to the pivots differ by the radius at most.
+* Sets already in one component need no comparison, as only components are asked for; a region that is one component is settled.
 
-A region's rows are packed by the mappers into one record per bucket; a pivot with many sets in one mapper is sent as rows
-spread over all buckets instead, so no reducer gets more of a pivot than a bounded number from each mapper.
+Regions up to ``REGION`` shingles are joined in one task. Larger ones are dealt to the cells of their pivots by Spark, recursively;
+those that distances don't separate are compared block against block. All of it is exact.
+
+Equal sets are one class, named by 128 bits. Mappers send a shingle once however many sets of theirs hold it, so no bucket gets more
+of a frequent one than a record from each mapper.
 
 Defined results: null or empty text and rows without doc_id have no shingles and are linked with nothing; rows with equal
 ids and texts are one document in several rows; an empty table gives an empty one.
@@ -29,383 +33,640 @@ ids and texts are one document in several rows; an empty table gives an empty on
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .common import Bucketed, documents, released, slices, utf8, written
-from .graph import components
-from .words import HASHES, mixed, shingles
+from .common import buckets_for, documents, fresh, released, slices, written
+from .graph import components, least_connected
+from .words import Words, mixed, shingles
 
 SHINGLE = 5
 #: Linked if LINK[1] * intersection >= LINK[0] * union.
 LINK = (3, 4)
-#: Sets in a region whose pairs are compared directly.
-SMALL = 24
-#: Passes over documents in large regions; rounds of further pivots in those left, and pivots of a round.
-PASSES, ROUNDS, FURTHER = 3, 3, 32
-#: Most pivots that are moved to the end of the order (8 bytes each in every task); the most frequent ones are chosen.
-MOST_MOVED = 2_000_000
-#: Entries that a mapper packs at a time, and entries of a pivot among them from which it is spread.
-PACKED, SPREAD = 1_000_000, 64
-#: Sets of a task, and of all tasks with so many, from which a shingle goes to the end of the order at once. Of a task's shingles
-#: those below ``LOW`` are counted, which windows seldom go beyond, ``COUNTED`` at a time.
-OFTEN, FREQUENT = 2, 24
-LOW, COUNTED = np.uint64(int(0.4 * 2**64)), 2_000_000
-
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; a text of fewer words is one shingle."""
-    words = (text or b"").lower().split()
-    h = HASHES.of(words)
-    return np.unique(shingles(h, min(SHINGLE, len(words)))) if words else np.empty(0, np.uint64)
-
-
-def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
-    """:func:`shingle_set` of many texts at once."""
-    words = [(t or b"").lower().split() for t in texts]
-    h = HASHES.of([w for ws in words for w in ws])
-    every = shingles(h, SHINGLE)
-    out, at = [], 0
-    for ws in words:
-        n = len(ws)
-        if n >= SHINGLE:
-            s = np.sort(every[at : at + n - SHINGLE + 1])
+RADIUS = 1 - LINK[0] / LINK[1]
+#: Of the shingles that a partner must have, one in so many must be found in other sets for a set to be a candidate.
+NEEDED = 3
+#: Shingles, and documents, that a mapper sends at a time.
+PACKED, MOST_DOCS = 1_500_000, 60_000
+#: Shingles of a region, and of a block, that one task takes.
+REGION = 4_000_000
+#: Pivots of a region; sets that are compared without pivots.
+PIVOTS, SMALL = 8, 16
+#: Rounds of dealing large regions to cells; a cell with a larger share of what it came from counts as not separated.
+ROUNDS, SEPARATED = 4, 0.9
+
+_U = np.uint64
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles; a text of fewer words is one shingle."""
+    w = Words(column, lower=True)
+    every, out = shingles(w.hashes, SHINGLE), []
+    for f, e in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+        if e - f >= SHINGLE:
+            s = np.sort(every[f : e - SHINGLE + 1])
             out.append(s[np.r_[True, s[1:] != s[:-1]]])
         else:
-            out.append(shingles(h[at : at + n], n) if n else np.empty(0, np.uint64))
-        at += n
+            out.append(shingles(w.hashes[f:e], e - f) if e > f else np.empty(0, _U))
     return out
 
 
-def _class(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def needed(n):
+    """Shingles of a set of n that a partner within the radius has at least."""
+    return -(-LINK[0] * n // LINK[1])
 
 
 def window_size(n):
     """Shingles of a set of n that a partner within the radius must share one of."""
-    return n - -(-LINK[0] * n // LINK[1]) + 1
-
+    return n - needed(n) + 1
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return LINK[1] * both >= LINK[0] * (len(a) + len(b) - both)
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of the runs of equal values of a sorted array."""
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
+    return at, np.diff(np.r_[at, len(x)])
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n, class (null: linked with nothing); and rows with cell and sets alone, for shingles that are
-    frequent somewhere: in how many sets of a task, if in ``OFTEN`` or more."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_hash", "n", "class", "cell", "sets"]
 
-    def frequent(sets: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
-        cells, count = np.unique(np.concatenate(sets), return_counts=True)
-        cells, count = cells[count >= OFTEN], count[count >= OFTEN]
-        none = pa.nulls(len(cells), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(cells), id_type), none, none, none, pa.array(cells.view(np.int64)), pa.array(count)], names)
+def _keys(s: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of a shingle, which stand for it when frequencies are counted."""
+    return ((s >> _U(40)) % _U(buckets)) << _U(32) | (s & _U(0xFFFFFFFF))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        low: list[np.ndarray] = []
-        held, id_type = 0, None
-        for batch in slices(batches, "text", 1 << 22):
-            id_type = batch.column("doc_id").type
-            sets = shingle_sets(utf8(batch.column("text")))
-            valid = batch.column("doc_id").is_valid().to_pylist()
-            cls = [_class(s) if len(s) and ok else None for s, ok in zip(sets, valid)]
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), none, none], names)
-            for c, s in zip(cls, sets):
-                if c is not None and c not in seen:
-                    seen.add(c)
-                    low.append(s[: np.searchsorted(s, LOW)])
-                    held += len(low[-1])
-            if held >= COUNTED:
-                yield frequent(low, id_type)
-                seen.clear()
-                low, held = [], 0
-        if low:
-            yield frequent(low, id_type)
-        released()
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, class long, cell long, sets long")
+def _by_bucket(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    b = (keys >> _U(32)).astype(np.int64)
+    at, n = _runs(b)
+    for x, k in zip(at.tolist(), n.tolist()):
+        yield int(b[x]), slice(x, x + k)
 
 
-def _fresh(cells: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries sorted by cell and class, repeats dropped."""
-    order = np.lexsort((classes, cells))
-    cells, classes, sizes = cells[order], classes[order], sizes[order]
-    if len(cells):
-        fresh = np.r_[True, (cells[1:] != cells[:-1]) | (classes[1:] != classes[:-1])]
-        cells, classes, sizes = cells[fresh], classes[fresh], sizes[fresh]
-    return cells, classes, sizes
+def _chunk_id(k: int) -> int:
+    return TaskContext.get().partitionId() << 32 | k
 
 
-def _pack(cells: np.ndarray, classes: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, record). Kinds: 0 entries, 1 entries of pivots known to be shared, 2 those pivots."""
-    cells, classes, sizes = _fresh(cells, classes, sizes)
-    _, first, count = np.unique(cells, return_index=True, return_counts=True)
-    many = np.repeat(count > SPREAD, count)
-    where = (mixed(cells) % np.uint64(buckets)).astype(np.int64)
-    spread = (mixed(classes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    for kind, at, picked in ((0, where, np.flatnonzero(~many)), (1, spread, np.flatnonzero(many)), (2, where, first[count > SPREAD])):
-        if not len(picked):
-            continue
-        order = picked[np.argsort(at[picked], kind="stable")]
-        b, c, k, n = at[order], cells[order], classes[order], sizes[order]
-        cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        for x, y in zip(cuts, np.r_[cuts[1:], len(b)]):
-            yield int(b[x]), kind, c[x:y].tobytes() + k[x:y].tobytes() + n[x:y].tobytes()
+# --- candidates -----------------------------------------------------------------------------------------------------------------
 
 
-def shared_cells(texts: DataFrame, moved: np.ndarray, buckets: int) -> DataFrame:
-    """(cell, class, n) of the windows, for pivots in the windows of two classes or more. ``moved`` (sorted) come last in the order."""
+def signatures(docs: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, text_hash, n, class (null: linked with nothing), candidate: whether the set may have a partner."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["bucket", "chunk", "idx", "doc_id", "text_hash", "n", "class", "found", "record"]
+    schema = f"bucket int, chunk long, idx int, doc_id {kind}, text_hash long, n long, class binary, found long, record binary"
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
-            if cells:
-                rows = list(_pack(np.concatenate(cells), np.repeat(np.array(classes, np.int64), lengths), np.repeat(np.array(sizes, np.uint32), lengths), buckets))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "record"])
-
-        cells, classes, sizes, lengths, held = [], [], [], [], 0
-        seen: set[int] = set()
+            chunk = _chunk_id(number)
+            home = (TaskContext.get().partitionId() * 31 + number) % buckets
+            at = np.repeat(np.array(docs_of, np.int64), [len(s) for s in sent])
+            keys = _keys(np.concatenate(sent), buckets) if sent else np.empty(0, _U)
+            order = np.argsort(keys)
+            keys, at = keys[order], at[order]
+            first, count = _runs(keys)
+            # what several sets of the chunk hold is known to be shared, and is sent once
+            several = np.repeat(count > 1, count)
+            found = np.bincount(at[several], minlength=held_docs)
+            single = ~several
+            lone, lone_at, shared = keys[single], at[single].astype(np.uint16), keys[first[count > 1]]
+            records: dict[int, list[bytes]] = {}
+            for b, x in _by_bucket(lone):
+                records.setdefault(b, [b"", b""])[0] = (lone[x] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() + lone_at[x].tobytes()
+            for b, x in _by_bucket(shared):
+                records.setdefault(b, [b"", b""])[1] = (shared[x] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes()
+            done = 0
+            for rows, classes, sizes, idx in rows_of:
+                where = np.array(idx, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([home] * len(idx), pa.int32()), pa.array([chunk] * len(idx), pa.int64()), pa.array(idx, pa.int32()), rows.column("doc_id"), rows.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(np.where(where >= 0, found[np.maximum(where, 0)] if len(found) else 0, 0)), pa.nulls(len(idx), pa.binary())], names)
+                done += len(idx)
+            # the last row says how many answers there will be
+            lists = [[*records, home], [len(v[0]) // 6 for v in records.values()] + [len(records)], [b"".join(v) for v in records.values()] + [None]]
+            m = len(lists[0])
+            yield pa.RecordBatch.from_arrays([pa.array(lists[0], pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array([-2] * (m - 1) + [-3], pa.int32()), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.array(lists[1], pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(lists[2], pa.binary())], names)
+
+        number, id_type = 0, None
+        sent, docs_of, rows_of, held, held_docs = [], [], [], 0, 0
+        seen: dict[bytes, int] = {}
         for batch in slices(batches, "text", 1 << 22):
-            sets = shingle_sets(utf8(batch.column("text")))
-            last = _among(np.concatenate(sets), moved) if len(moved) and sets else None
-            at = 0
-            for s in sets:
-                here = None if last is None else last[at : at + len(s)]
-                at += len(s)
-                if not len(s) or (c := _class(s)) in seen:
+            id_type = batch.column("doc_id").type
+            valid = batch.column("doc_id").is_valid().to_pylist()
+            rows = batch.select(["doc_id", "text_hash"])
+            classes, sizes, idx = [], [], []
+            for s, ok in zip(shingle_sets(batch.column("text")), valid):
+                sizes.append(len(s))
+                if not len(s) or not ok:
+                    classes.append(None)
+                    idx.append(-1)
                     continue
-                seen.add(c)
-                p = window_size(len(s))
-                if here is not None and here[:p].any():
-                    window = s[~here][:p]
-                    if len(window) < p:
-                        window = np.concatenate([window, s[here][: p - len(window)]])
-                else:
-                    window = s[:p]
-                cells.append(window)
+                c = xxhash.xxh3_128_digest(s.data)
                 classes.append(c)
-                sizes.append(len(s))
-                lengths.append(p)
-                held += p
-                if held >= PACKED:
-                    yield from flush()
-                    cells, classes, sizes, lengths, held = [], [], [], [], 0
-                    seen.clear()
-        yield from flush()
+                if c not in seen:
+                    seen[c] = held_docs
+                    share = -(-needed(len(s)) // NEEDED)
+                    sent.append(s[: len(s) - needed(len(s)) + share])
+                    docs_of.append(held_docs)
+                    held += len(sent[-1])
+                    held_docs += 1
+                idx.append(seen[c])
+            rows_of.append((rows, classes, sizes, idx))
+            if held >= PACKED or held_docs >= MOST_DOCS // 2:
+                yield from flush()
+                number += 1
+                sent, docs_of, rows_of, held, held_docs = [], [], [], 0, 0
+                seen.clear()
+        if rows_of:
+            yield from flush()
         released()
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[bytes]] = {0: [], 1: [], 2: []}
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets_of, chunks, lone, at, shared = [], [], [], [], []
         for batch in batches:
-            for kind, record in zip(batch.column("kind").to_pylist(), batch.column("record").to_pylist()):
-                parts[kind].append(record)
-        cells, classes, sizes = _fresh(*_entries(parts[0]))
-        if len(cells):
-            _, inverse, count = np.unique(cells, return_inverse=True, return_counts=True)
-            shared = np.flatnonzero((count > 1)[inverse] | np.isin(cells, _entries(parts[2])[0]))
-            yield from _rows(cells[shared], classes[shared], sizes[shared])
-        # an entry that several mappers spread meets itself in one bucket, as it is spread by its class
-        yield from _rows(*_fresh(*_entries(parts[1])))
+            message = pc.equal(batch.column("idx"), -2)
+            rest = batch.filter(pc.invert(message))
+            if rest.num_rows:
+                yield rest
+            batch = batch.filter(message)
+            for b, c, n, record in zip(*(batch.column(k).to_pylist() for k in ("bucket", "chunk", "n", "record"))):
+                high = _U(b) << _U(32)
+                lone.append(np.frombuffer(record, np.uint32, n).astype(_U) | high)
+                at.append(np.frombuffer(record, np.uint16, n, 4 * n))
+                shared.append(np.frombuffer(record, np.uint32, offset=6 * n).astype(_U) | high)
+                buckets_of.append(b)
+                chunks.append(c)
+        if chunks:
+            lengths = [len(x) for x in lone]
+            keys, known = np.concatenate(lone), np.unique(np.concatenate(shared))
+            order = np.argsort(keys)
+            first, count = _runs(keys[order])
+            twice = (count > 1) | _among(keys[order][first], known)
+            hit = np.empty(len(keys), bool)
+            hit[order] = np.repeat(twice, count)
+            cuts = np.cumsum(lengths)[:-1]
+            answers = [x[h].tobytes() for x, h in zip(at, np.split(hit, cuts))]
+            m = len(chunks)
+            for s in range(0, m, 1024):
+                k = min(1024, m - s)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets_of[s : s + k], pa.int32()), pa.array(chunks[s : s + k], pa.int64()), pa.array([-2] * k, pa.int32()), pa.nulls(k, arrow_id), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(answers[s : s + k], pa.binary())], names)
         released()
 
-    dealt = texts.select("text").mapInArrow(deal, "bucket int, kind int, record binary").repartition(buckets, "bucket")
-    return dealt.mapInArrow(gather, "cell long, class long, n long")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, found, got, due = [], {}, {}, {}
+        for batch in batches:
+            kinds = batch.column("idx").to_numpy()
+            some = batch.filter(pa.array(kinds >= -1))
+            if some.num_rows:
+                rows.append(some.select(["chunk", "idx", "doc_id", "text_hash", "n", "class", "found"]))
+            for c, n in zip(*(batch.filter(pa.array(kinds == -3)).column(k).to_pylist() for k in ("chunk", "n"))):
+                due[c] = due.get(c, 0) + n
+            for c, record in zip(*(batch.filter(pa.array(kinds == -2)).column(k).to_pylist() for k in ("chunk", "record"))):
+                got[c] = got.get(c, 0) + 1
+                if c not in found:
+                    found[c] = np.zeros(MOST_DOCS, np.int32)
+                found[c] += np.bincount(np.frombuffer(record, np.uint16), minlength=MOST_DOCS)[:MOST_DOCS].astype(np.int32)
+        if got != {c: n for c, n in due.items() if n}:
+            raise RuntimeError("answers are missing: a mapper that ran again dealt its documents in another order; pass a table that was written")
+        for batch in rows:
+            idx, chunk, n, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("idx", "chunk", "n", "found"))
+            total = own.astype(np.int64)
+            for c in np.unique(chunk).tolist():
+                if c in found:
+                    here = np.flatnonzero((chunk == c) & (idx >= 0))
+                    total[here] += found[c][idx[here]]
+            share = -(-needed(n) // NEEDED)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "text_hash", "n", "class")), pa.array((idx >= 0) & (total >= share))], ["doc_id", "text_hash", "n", "class", "candidate"])
+        released()
+
+    arrow_id = to_arrow_type(docs.schema["doc_id"].dataType)
+    answered = docs.mapInArrow(send, schema).repartition(buckets, "bucket").mapInArrow(answer, schema)
+    return answered.repartition(buckets, "chunk").mapInArrow(decide, f"doc_id {kind}, text_hash long, n long, class binary, candidate boolean")
 
 
 def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
-def _entries(records: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cells, classes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
-    for r in records:
-        n = len(r) // 20
-        cells.append(np.frombuffer(r, np.uint64, n))
-        classes.append(np.frombuffer(r, np.int64, n, 8 * n))
-        sizes.append(np.frombuffer(r, np.uint32, n, 16 * n))
-    return np.concatenate(cells), np.concatenate(classes), np.concatenate(sizes)
+# --- regions --------------------------------------------------------------------------------------------------------------------
 
 
-def _rows(cells: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for s in range(0, len(cells), 1 << 16):
-        at = slice(s, s + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(cells[at].view(np.int64)), pa.array(classes[at]), pa.array(sizes[at].astype(np.int64))], ["cell", "class", "n"])
+def _packed_sets(texts: DataFrame) -> DataFrame:
+    """(chunk, classes, sizes, sets): the sets of candidates, ``PACKED`` shingles to a row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([_chunk_id(number)], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([np.array([len(s) for s in held.values()], np.uint32).tobytes()], pa.binary()), pa.array([np.concatenate([*held.values()]).tobytes()], pa.binary())], ["chunk", "classes", "sizes", "sets"])
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those that are linked. ``texts`` has class and text."""
-    side = lambda k: texts.select(F.col("class").alias(k), F.col("text").alias(f"text_{k}"))
-    # the pivots' side comes last: rows arrive sorted by it, so its set is made once in a row
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        number, size = 0, 0
+        held: dict[bytes, np.ndarray] = {}
+        for batch in slices(batches, "text", 1 << 22):
+            for c, s in zip(batch.column("class").to_pylist(), shingle_sets(batch.column("text"))):
+                if c not in held:
+                    held[c] = s
+                    size += len(s)
+            if size >= PACKED:
+                yield out()
+                held, size, number = {}, 0, number + 1
+        if held:
+            yield out()
+        released()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+    return texts.mapInArrow(run, "chunk long, classes binary, sizes binary, sets binary")
+
+
+class _Chunk:
+    """The sets of a packed row: ``classes``, and their shingles ``s`` with the number ``of`` the set of each."""
+
+    def __init__(self, row: dict):
+        self.id = row["chunk"]
+        self.classes = [row["classes"][k : k + 16] for k in range(0, len(row["classes"]), 16)]
+        self.sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        self.s = np.frombuffer(row["sets"], _U)
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def counted(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys, in how many of the sets each is, which of them each shingle has)."""
+        keys, inverse, count = np.unique(_keys(self.s, buckets), return_inverse=True, return_counts=True)
+        return keys, count, inverse
+
+
+def _frequencies(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, answers): for each bucket that the chunk has keys of, in how many sets these are, up to 255."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for b, x, y in zip(batch.column("b").to_pylist(), utf8(batch.column("text_a")), utf8(batch.column("text_b"))):
-                if b != last:
-                    last, own = b, shingle_set(y)
-                keep.append(linked(shingle_set(x), own))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for k in range(batch.num_rows):
+                chunk = _Chunk(batch.slice(k, 1).to_pylist()[0])
+                keys, count, _ = chunk.counted(buckets)
+                count = np.minimum(count, 255).astype(np.uint8)
+                rows = [(b, (keys[x] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() + count[x].tobytes()) for b, x in _by_bucket(keys)]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk.id] * len(rows), pa.int64()), pa.array([r for _, r in rows], pa.binary())], ["bucket", "chunk", "record"])
         released()
 
-    return joined.mapInArrow(run, "a long, b long")
-
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, keys, counts = [], [], []
+        for batch in batches:
+            for b, c, record in zip(*(batch.column(k).to_pylist() for k in ("bucket", "chunk", "record"))):
+                n = len(record) // 5
+                keys.append(np.frombuffer(record, np.uint32, n).astype(_U) | _U(b) << _U(32))
+                counts.append(np.frombuffer(record, np.uint8, n, 4 * n))
+                rows.append((c, b))
+        if rows:
+            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.minimum(np.bincount(inverse, weights=np.concatenate(counts)), 255).astype(np.uint8)[inverse]
+            parts = [x.tobytes() for x in np.split(total, np.cumsum([len(k) for k in keys])[:-1])]
+            for s in range(0, len(rows), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows[s : s + 1024]], pa.int64()), pa.array([b for _, b in rows[s : s + 1024]], pa.int32()), pa.array(parts[s : s + 1024], pa.binary())], ["chunk", "bucket", "record"])
+        released()
 
-def _within(n_a, n_b, common):
-    """Whether sets of these sizes, of whose windows so many shingles are common, may be linked."""
-    # of the set whose window ends first, only what lies beyond the window can be common besides
-    beyond = F.greatest(*[n - window_size_of(n) for n in (n_a, n_b)])
-    return (F.least(n_a, n_b) * LINK[1] >= F.greatest(n_a, n_b) * LINK[0]) & ((common + beyond) * sum(LINK) >= LINK[0] * (n_a + n_b))
+    replies = chunks.mapInArrow(send, "bucket int, chunk long, record binary").repartition(buckets, "bucket").mapInArrow(answer, "chunk long, bucket int, record binary")
+    return replies.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "record"))).alias("answers"))
 
 
-def window_size_of(n):
-    return n - F.ceil(n * LINK[0] / LINK[1]) + 1
+def _stars(cells: np.ndarray, of: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (cell, number below m): the least number that each is connected to, and the distinct (cell, that number)."""
+    order = np.lexsort((of, cells))
+    cells, of = cells[order], of[order]
+    first, count = _runs(cells)
+    label = least_connected(m, of, np.repeat(of[first], count))
+    return label, cells[first], label[of[first]]
 
 
-def _joined(links: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, links)
+def _near(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Edges (a, b) that connect the classes whose windows share a shingle."""
+    asked = chunks.join(_frequencies(chunks, buckets).withColumnRenamed("chunk", "__c"), F.col("chunk") == F.col("__c")).drop("__c")
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                chunk = _Chunk(row)
+                _, _, inverse = chunk.counted(buckets)
+                often = np.frombuffer(b"".join(a["record"] for a in row["answers"]), np.uint8)[inverse]
+                order = np.lexsort((chunk.s, often, chunk.of))
+                start = np.cumsum(chunk.sizes) - chunk.sizes
+                rank = np.arange(len(order)) - np.repeat(start, chunk.sizes)
+                inside = order[(rank < np.repeat(window_size(chunk.sizes), chunk.sizes)) & (often[order] > 1)]
+                label, cells, of = _stars(chunk.s[inside], chunk.of[inside], len(chunk.classes))
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                rows = [(-1 - int(i) % buckets, chunk.classes[i], chunk.classes[label[i]]) for i in moved.tolist()]
+                b = (mixed(cells) % _U(buckets)).astype(np.int64)
+                order = np.argsort(b, kind="stable")
+                first, count = _runs(b[order])
+                for x, n in zip(first.tolist(), count.tolist()):
+                    at = order[x : x + n]
+                    rows.append((int(b[at[0]]), cells[at].tobytes(), b"".join([chunk.classes[i] for i in of[at].tolist()])))
+                for s in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[s : s + 4096]], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "a", "b"])
+        released()
 
-def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
-    f = found.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
-    return rows.join(f, F.col("class") == F.col("__node"), "left").select(*rows.columns, F.coalesce("__component", "class").alias("component"))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, classes = [np.empty(0, _U)], []
+        for batch in batches:
+            own = pc.less(batch.column("bucket"), 0)
+            if pc.any(own).as_py():
+                yield batch.filter(own).select(["a", "b"])
+            for a, b in zip(*(batch.filter(pc.invert(own)).column(k).to_pylist() for k in ("a", "b"))):
+                cells.append(np.frombuffer(a, _U))
+                classes.append(b)
+        named = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), sum(map(len, cells)), [None, pa.py_buffer(b"".join(classes))]).dictionary_encode()
+        names = named.dictionary.to_pylist()
+        label, _, _ = _stars(np.concatenate(cells), named.indices.to_numpy().astype(np.int64), len(names))
+        moved = np.flatnonzero(label != np.arange(len(label))).tolist()
+        for s in range(0, len(moved), 1 << 16):
+            some = moved[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.binary()), pa.array([names[label[i]] for i in some], pa.binary())], ["a", "b"])
+        released()
 
+    return asked.mapInArrow(send, "bucket int, a binary, b binary").repartition(buckets, "bucket").mapInArrow(meet, "a binary, b binary")
 
-def _sorted_cells(cells: DataFrame) -> np.ndarray:
-    """The most frequent ``MOST_MOVED`` of (cell, sets), sorted by cell."""
-    return np.sort(cells.orderBy(F.desc("sets"), "cell").limit(MOST_MOVED).select("cell").toArrow().column("cell").to_numpy().view(np.uint64))
 
+def _unpacked(chunks: DataFrame) -> DataFrame:
+    """(class, n, set)."""
 
-def _cells_table(spark, cells: np.ndarray) -> DataFrame:
-    return spark.createDataFrame(pa.table({"cell": pa.array(cells.view(np.int64))}))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk = _Chunk(batch.slice(k, 1).to_pylist()[0])
+                cuts = np.cumsum(chunk.sizes) * 8
+                raw = chunk.s.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.classes, pa.binary()), pa.array(chunk.sizes), pa.array([raw[e - 8 * n : e] for e, n in zip(cuts.tolist(), chunk.sizes.tolist())], pa.binary())], ["class", "n", "set"])
+
+    return chunks.mapInArrow(run, "class binary, n long, set binary")
+
+
+# --- joins of regions -----------------------------------------------------------------------------------------------------------
+
+
+class _Region:
+    """Sets in memory. ``label`` has the least number that each is known to be connected to."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets], np.int64)
+        distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.start = np.cumsum(self.n) - self.n
+        self.codes, self.flag = codes, np.zeros(len(distinct), np.int32)
+        self.label = np.arange(len(sets))
+
+    def part(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of some sets, one after another, and where each begins."""
+        if len(rows) == len(self.n):
+            return self.codes, self.start
+        n = self.n[rows]
+        first = np.cumsum(n) - n
+        return self.codes[np.arange(n.sum()) + np.repeat(self.start[rows] - first, n)], first
+
+    def common(self, i: int, part: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        own = self.codes[self.start[i] : self.start[i] + self.n[i]]
+        self.flag[own] = 1
+        out = np.add.reduceat(self.flag[part[0]], part[1])
+        self.flag[own] = 0
+        return out
+
+    def link(self, i: int, rows: np.ndarray, common: np.ndarray) -> None:
+        union = self.n[i] + self.n[rows] - common
+        found = rows[LINK[1] * common >= LINK[0] * union]
+        labels = np.unique(self.label[np.r_[found, i]])
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels[0]
+
+    def join(self, rows: np.ndarray) -> None:
+        """Connects all linked sets among ``rows``."""
+        if (self.label[rows] == self.label[rows[0]]).all():
+            return
+        if len(rows) <= SMALL:
+            return self.compare(rows, None)
+        part, taken, far = self.part(rows), [], np.full(len(rows), 2.0)
+        distances = np.empty((len(rows), min(PIVOTS, len(rows))))
+        for k in range(distances.shape[1]):
+            # the first pivot is any set, each further one the set that is farthest from those before
+            i = int(far.argmax())
+            common = self.common(rows[i], part)
+            distances[:, k] = 1 - common / (self.n[rows[i]] + self.n[rows] - common)
+            self.link(rows[i], rows, common)
+            taken.append(i)
+            far = np.minimum(far, distances[:, k])
+            far[i] = -1
+        if (self.label[rows] == self.label[rows[0]]).all():
+            return
+        home = distances.argmin(axis=1)
+        for k in range(distances.shape[1]):
+            cell = _cell(distances, home, k)
+            if not len(cell):
+                continue
+            if len(cell) <= SEPARATED * len(rows):
+                self.join(rows[cell])
+            else:
+                self.compare(rows[cell], distances[cell])
+
+    def compare(self, rows: np.ndarray, distances: np.ndarray | None) -> None:
+        """Compares the sets outside the largest component with all that lie within the radius by their distances to the pivots."""
+        names, size = np.unique(self.label[rows], return_counts=True)
+        head = rows[self.label[rows] == names[size.argmax()]][0]
+        for at, i in enumerate(rows.tolist()):
+            if self.label[i] == self.label[head]:
+                continue
+            near = (self.label[rows] != self.label[i]) & (LINK[1] * np.minimum(self.n[rows], self.n[i]) >= LINK[0] * np.maximum(self.n[rows], self.n[i]))
+            if distances is not None:
+                near &= (np.abs(distances - distances[at]) <= RADIUS + 1e-9).all(axis=1)
+            others = rows[near]
+            if len(others):
+                self.link(i, others, self.common(i, self.part(others)))
+
+
+def _cell(distances: np.ndarray, home: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the sets of pivot k's Voronoi cell, and of those that the triangle inequality doesn't keep from its members."""
+    own = home == k
+    if not own.any():
+        return np.empty(0, np.int64)
+    d = distances[:, k]
+    window = (d - distances.min(axis=1) <= 2 * RADIUS + 1e-9) & (d <= d[own].max() + RADIUS + 1e-9)
+    return np.flatnonzero(own | window)
+
+
+def _joined(classes: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """(class, class that it is connected to) of a region."""
+    region = _Region(sets)
+    region.join(np.arange(len(sets)))
+    return [(classes[i], classes[x]) for i, x in enumerate(region.label.tolist()) if i != x]
+
+
+def _whole_regions(members: DataFrame) -> DataFrame:
+    """Links (a, b) of regions that come whole: rows (region, class, set), sorted by region in their partitions."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in found], pa.binary()) for j in (0, 1)], ["a", "b"])
 
-def class_links(docs: DataFrame, classes: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that join the same components as all links do.
+        region, held, found = None, {}, []
+        for batch in batches:
+            for r, c, s in zip(*(batch.column(k).to_pylist() for k in ("region", "class", "set"))):
+                if r != region:
+                    found += _joined([*held], [*held.values()]) if len(held) > 1 else []
+                    region, held = r, {}
+                held[c] = np.frombuffer(s, _U)
+            yield rows(found)
+            found = []
+        yield rows(_joined([*held], [*held.values()]) if len(held) > 1 else [])
+        released()
 
-    ``classes`` has class, rep, text_hash and n; ``frequent`` has cell and sets. The order of pivots has no part in the result.
-    """
+    return members.mapInArrow(run, "a binary, b binary")
+
+
+def _measured(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Distances of members to the pivots of their region; ``home`` marks the nearest (-1 in ``pivot``: no pivot shares anything)."""
+    sets = [np.frombuffer(s, _U) for c in ("set",) for t in (left, right) for s in t.column(c).to_pylist()]
+    m, k = left.num_rows, right.num_rows
+    out: dict[str, list] = {c: [] for c in ("region", "class", "pivot", "distance", "home", "linked")}
+    if m and k:
+        region, rows = _Region(sets), np.arange(m)
+        part = region.part(rows)
+        common = np.array([region.common(m + j, part) for j in range(k)])
+        union = region.n[m:, None] + region.n[None, :m] - common
+        distance, linked = 1 - common / union, LINK[1] * common >= LINK[0] * union
+        home = np.where(distance.min(axis=0) < 1, distance.argmin(axis=0), k)
+        pivots, name = [*right.column("class").to_pylist(), None], left.column("region")[0].as_py()
+        for i, c in enumerate(left.column("class").to_pylist()):
+            for j in range(k + 1):
+                out["region"].append(name)
+                out["class"].append(c)
+                out["pivot"].append(pivots[j])
+                out["distance"].append(float(distance[j, i]) if j < k else 1.0)
+                out["home"].append(bool(home[i] == j))
+                out["linked"].append(bool(j < k and linked[j, i]))
+    return pa.table({"region": pa.array(out["region"], pa.binary()), "class": pa.array(out["class"], pa.binary()), "pivot": pa.array(out["pivot"], pa.binary()), "distance": pa.array(out["distance"], pa.float64()), "home": pa.array(out["home"], pa.bool_()), "linked": pa.array(out["linked"], pa.bool_())})
+
+
+def _compared(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between the members of two blocks."""
+    a, b = ({c: np.frombuffer(s, _U) for c, s in zip(t.column("class").to_pylist(), t.column("set").to_pylist())} for t in (left, right))
+    found = []
+    if a and b:
+        both = {**a, **b}
+        names = [*both]
+        region, number = _Region([*both.values()]), {c: i for i, c in enumerate(names)}
+        others = np.array([number[c] for c in b])
+        part = region.part(others)
+        for c in a:
+            i = number[c]
+            region.link(i, others, region.common(i, part))
+        found = [(names[i], names[x]) for i, x in enumerate(region.label.tolist()) if i != x]
+    return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+
+def _labelled(rows: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """``rows`` with the component that each class is known to be in."""
+    if not links:
+        return rows.withColumn("component", F.col("class"))
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    known = components(every)
+    return rows.join(known, F.col("class") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "class").alias("component"))
+
+
+def _large_regions(members: DataFrame) -> list[DataFrame]:
+    """Links of regions that are too large for a task. ``members`` has region, class, n, set."""
+    links: list[DataFrame] = []
+    for turn in range(ROUNDS):
+        size = written(members.groupBy("region").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets")), "sizes")
+        large = size.where(F.col("shingles") > REGION)
+        small = members.join(size.where(F.col("shingles") <= REGION).select("region"), "region", "left_semi")
+        links.append(written(_whole_regions(small.select("region", "class", "set").repartition("region").sortWithinPartitions("region")), "links"))
+        if large.isEmpty():
+            return links
+        members = written(members.join(large.select("region", (F.ceil(F.col("shingles") / REGION) * 2).cast("int").alias("parts"), "sets"), "region"), "members")
+        order = Window.partitionBy("region").orderBy(F.xxhash64("class", F.lit(turn)), "class")
+        pivots = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * PIVOTS).drop("r")
+        pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("region", "part", "class", "set")
+        dealt = members.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).select("region", "part", "class", "set")
+        kind = "region binary, class binary, pivot binary, distance double, home boolean, linked boolean"
+        measured = written(dealt.groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(_measured, kind), "measured")
+        links.append(written(measured.where("linked AND class != pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")), "links"))
+        # the cells with their windows
+        radius = measured.where("home").groupBy("region", F.coalesce("pivot", F.lit(b"")).alias("p")).agg(F.max("distance").alias("radius"))
+        own = measured.groupBy("region", "class").agg(F.min("distance").alias("nearest"))
+        near = measured.withColumn("p", F.coalesce("pivot", F.lit(b""))).join(radius, ["region", "p"]).join(own, ["region", "class"])
+        inside = F.col("home") | ((F.col("distance") - F.col("nearest") <= 2 * RADIUS + 1e-9) & (F.col("distance") <= F.col("radius") + RADIUS + 1e-9))
+        cells = written(near.where(inside).select("region", "class", F.unhex(F.md5(F.concat(F.col("region"), F.col("p"), F.lit(bytes([turn]))))).alias("cell")), "cells")
+        # a region whose cells aren't smaller stays whole, and gets other pivots in the next round
+        before = members.select("region", "sets").distinct()
+        most = cells.groupBy("region", "cell").agg(F.count("*").alias("k")).groupBy("region").agg(F.max("k").alias("k"))
+        split = most.join(before, "region").select("region", (F.col("k") <= SEPARATED * F.col("sets")).alias("split"))
+        parts = cells.join(split.where("split").select("region"), "region", "left_semi").unionByName(members.join(split.where("NOT split").select("region"), "region", "left_semi").select("region", "class", F.col("region").alias("cell")))
+        labels = _labelled(parts, links)
+        alive = labels.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("cell")
+        members = written(parts.join(alive, "cell", "left_semi").join(members.select("region", "class", "n", "set"), ["region", "class"]).select(F.col("cell").alias("region"), "class", "n", "set"), "members")
+    # what distances don't separate: sets outside the largest component of a region against all of it, block against block
+    labels = written(_labelled(members.select("region", "class"), links), "labels")
+    heads = labels.groupBy("region", "component").agg(F.count("*").alias("k")).groupBy("region").agg(F.max(F.struct("k", "component")).alias("h")).select("region", F.col("h.component").alias("head"))
+    parts = members.groupBy("region").agg((F.ceil(F.sum("n") / REGION) * 4).cast("int").alias("parts"))
+    every = members.join(parts, "region").withColumn("block", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    across = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rest = every.join(labels.join(heads, "region").where("component != head").select("region", "class"), ["region", "class"], "left_semi")
+    left = rest.withColumn("other", across).select("region", "block", "other", "class", "set")
+    right = every.withColumn("other", across).select("region", F.col("other").alias("block"), F.col("block").alias("other"), "class", "set")
+    met = left.groupBy("region", "block", "other").cogroup(right.groupBy("region", "block", "other"))
+    links.append(written(met.applyInArrow(_compared, "a binary, b binary"), "links"))
+    return links
+
+
+def class_components(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(node, component): the least class that each of the candidates (class, rep, h, n) is connected to, but for those that are least."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    moved, links, label, bucketed, source = _sorted_cells(frequent), [], None, None, docs
-
-    def verify(pairs: DataFrame) -> None:
-        nonlocal label
-        links.append(written(_verified(pairs, bucketed.table), "links"))
-        old = [] if label is None else [label.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-        label = components(_joined([*old, links[-1]]))
-
-    for at in range(PASSES):
-        rows = written(shared_cells(source, moved, buckets), "cells")
-        least = F.min(F.struct("class", "n"))
-        regions = written(rows.groupBy("cell").agg(least.alias("p"), F.count("*").alias("sets")).select("cell", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"), "sets"), "regions")
-        if bucketed is None:
-            some = rows.select("class").distinct().join(classes, "class").select("class", "rep", F.col("text_hash").alias("__h"))
-            bucketed = Bucketed(docs.join(some, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("__h"))).select("class", "text").dropDuplicates(["class"]), "class")
-        # with the pivots; pairs that share too few regions of one pivot are left to the comparison of the rest
-        star = rows.join(regions, "cell").where("class != pivot").groupBy("class", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("pivot_n").alias("m"))
-        verify(star.where(_within(F.col("n"), F.col("m"), F.col("c"))).select(F.col("class").alias("a"), F.col("pivot").alias("b")))
-        regions = written(_with_rest(rows, regions, label), "regions")
-        large = regions.where(F.col("rest") > SMALL)
-        fresh = np.empty(0, np.uint64)
-        if at < PASSES - 1:
-            # large rests come from passages; pivots moved before that are back in windows belong to groups of near copies
-            fresh = _sorted_cells(large.join(_cells_table(spark, moved), "cell", "left_anti"))
-        again = _cells_table(spark, fresh) if len(fresh) else None
-        here = regions if again is None else regions.join(again, "cell", "left_anti")
-        for turn in range(ROUNDS):
-            if here.where(F.col("rest") > SMALL).isEmpty():
-                break
-            # further pivots for large rests: each set of such a rest is compared with some pivots of the largest region it is in
-            deep = _members(rows, here.where(F.col("rest") > SMALL), label)
-            home = deep.groupBy("class").agg(F.max_by("cell", F.struct("sets", "cell")).alias("cell"), F.first("n").alias("n"), F.bool_or("in_rest").alias("in_rest"))
-            order = Window.partitionBy("cell").orderBy(F.xxhash64("class", F.lit(turn)), "class")
-            heads = home.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FURTHER).select("cell", F.col("class").alias("next"), F.col("n").alias("m"))
-            pairs = home.where("in_rest").join(heads, "cell").where("class != next")
-            near = F.least("n", "m") * LINK[1] >= F.greatest("n", "m") * LINK[0]
-            more = written(pairs.where(near).select(F.col("class").alias("a"), F.col("next").alias("b")), "pairs")
-            if more.isEmpty():
-                break
-            verify(more)
-            here = written(_with_rest(rows, here, label), "regions")
-        # the rest against all of its region that is in other components; a pair is counted in every region it shares. Pairs that
-        # share a region dealt anew meet again there
-        rest = written(_members(rows, here.where("rest > 0"), label), "members")
-        a = rest.where("in_rest").select("cell", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
-        b = rest.select("cell", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), F.col("in_rest").alias("both"))
-        near = F.least("n_a", "n_b") * LINK[1] >= F.greatest("n_a", "n_b") * LINK[0]
-        # which of a pair is in the rest may differ between regions, so it is counted without order
-        met = a.join(b, "cell").where("component_a != component_b AND (NOT both OR a > b)").where(near)
-        pairs = met.groupBy(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).agg(F.count("*").alias("c"), F.min(F.struct("n_a", "n_b")).alias("n"))
-        pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "c", "n.n_a", "n.n_b")
-        verify(written(pairs.where(_within(F.col("n_a"), F.col("n_b"), F.col("c"))).select("a", "b"), "pairs"))
-        if again is None:
-            break
-        moved = np.union1d(moved, fresh)
-        source = bucketed.table.join(rows.join(again, "cell", "left_semi").select("class").distinct(), "class", "left_semi")
-    bucketed.drop()
-    return _joined(links)
-
-
-def _sorted_cells(cells: DataFrame) -> np.ndarray:
-    """The most frequent ``MOST_MOVED`` of (cell, sets), sorted by cell."""
-    return np.sort(cells.orderBy(F.desc("sets"), "cell").limit(MOST_MOVED).select("cell").toArrow().column("cell").to_numpy().view(np.uint64))
-
-
-def _cells_table(spark, cells: np.ndarray) -> DataFrame:
-    return spark.createDataFrame(pa.table({"cell": pa.array(cells.view(np.int64))}))
-
-
-def _labels(label: DataFrame) -> DataFrame:
-    """(node, component) of all that are linked with something."""
-    return label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())
-
-
-def _with_rest(rows: DataFrame, regions: DataFrame, label: DataFrame) -> DataFrame:
-    """(cell, sets, head, rest): a region's most common component, and the number of sets that are not in it."""
-    linked = rows.join(_labels(label), F.col("class") == F.col("node")).groupBy("cell", "component").agg(F.count("*").alias("k"))
-    heads = linked.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("h"))
-    # without links in it, a region's sets are components of their own, and any of them may be the head
-    return regions.select("cell", "sets", "pivot").join(heads, "cell", "left").select("cell", "sets", "pivot", F.coalesce("h.component", "pivot").alias("head"), (F.col("sets") - F.coalesce("h.k", F.lit(1))).alias("rest"))
-
-
-def _members(rows: DataFrame, regions: DataFrame, label: DataFrame) -> DataFrame:
-    """(cell, class, n, component, in_rest, sets) of the sets in regions."""
-    m = rows.join(regions.select("cell", "sets", "head"), "cell").join(_labels(label), F.col("class") == F.col("node"), "left")
-    m = m.select("cell", "class", "n", F.coalesce("component", "class").alias("component"), "head", "sets")
-    return m.withColumn("in_rest", F.col("component") != F.col("head")).drop("head")
+    texts = docs.join(candidates.hint("shuffle_hash"), (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("h"))).select("class", "text")
+    chunks = written(_packed_sets(texts), "sets")
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = components(_near(chunks, buckets))
+    regions = found.select(F.col("node").alias("member"), F.col("component").alias("region"))
+    regions = written(regions.unionByName(regions.select(F.col("region").alias("member"), "region").distinct()), "regions")
+    size = regions.join(candidates.select(F.col("class").alias("member"), "n"), "member").groupBy("region").agg(F.sum("n").alias("shingles"))
+    large = written(size.where(F.col("shingles") > REGION).select("region"), "large")
+    members = _unpacked(chunks).join(regions, F.col("class") == F.col("member")).select("region", "class", "n", "set")
+    if large.isEmpty():
+        return components(_whole_regions(members.select("region", "class", "set").repartition("region").sortWithinPartitions("region")))
+    members = written(members, "members")
+    whole = members.join(large, "region", "left_anti").select("region", "class", "set").repartition("region").sortWithinPartitions("region")
+    links = _whole_regions(whole)
+    for more in _large_regions(members.join(large, "region", "left_semi").dropDuplicates(["region", "class"])):
+        links = links.unionByName(more)
+    return components(links)
+
+
+def _clustered(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, keeper: one row per row of ``docs`` (doc_id, text, text_hash)."""
+    buckets = buckets_for(docs)
+    signed = written(signatures(docs, buckets), "signatures")
+    least = signed.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("n").alias("n"), F.max("candidate").alias("candidate"))
+    classes = written(least.select("class", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("h"), "n", "candidate"), "classes")
+    found = class_components(docs, classes.where("candidate").select("class", "rep", "h", "n"))
+    label = classes.join(found, F.col("class") == F.col("node"), "left").select(F.col("class").alias("member"), "rep", "h", F.coalesce("component", "class").alias("component"))
+    least = label.groupBy("component").agg(F.min(F.struct("rep", "h")).alias("r"))
+    named = label.join(least, "component").select("member", F.col("r.rep").alias("component_id"), F.col("r.h").alias("keeper_hash"))
+    joined = signed.join(named, F.col("class") == F.col("member"), "left")
+    keeper = F.col("class").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("keeper_hash")))
+    return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(keeper, F.lit(False)).alias("keeper"))
 
 
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id: one row per row of ``docs``."""
-    docs = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    signed = written(signatures(docs), "signatures")
-    signs = signed.where("cell IS NULL").select("doc_id", "text_hash", "n", "class")
-    frequent = signed.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= FREQUENT)
-    least = signs.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("n").alias("n"))
-    classes = written(least.select("class", F.col("r.doc_id").alias("rep"), "r.text_hash", "n"), "classes")
-    links = class_links(docs, classes, frequent)
-    label = _with_component(classes, components(links))
-    least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = written(label.join(least, "component").select(F.col("class").alias("__class"), "component_id"), "components")
-    return signs.join(named, F.col("class") == F.col("__class"), "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _clustered(docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))).drop("keeper")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component; rows that repeat one stay once."""
-    signed = docs.withColumn("__h", F.xxhash64("text"))
-    # documents linked with nothing stay as they are, row by row; of others the least id stays, once
-    found = cluster(docs).where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min("text_hash").alias("__k")).select(F.col("doc_id").alias("__d"), "__k")
-    stay = signed.join(found, (F.col("doc_id") == F.col("__d")) & F.col("__h").eqNullSafe(F.col("__k")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` whose document is the least (by id, then text hash) of its component.
+
+    Rows that repeat that one stay once; rows without doc_id and texts without words stay as they are.
+    """
+    h, d, k = fresh(docs, "hash", "id", "key")
+    signed = docs.withColumn(h, F.xxhash64("text"))
+    keepers = _clustered(docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))).where("keeper AND doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias(d), F.col("text_hash").alias(k)).distinct()
+    stay = signed.join(keepers, (F.col("doc_id") == F.col(d)) & (F.col(h) == F.col(k)), "left_semi").dropDuplicates(["doc_id", h])
     bare = signed.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return stay.select(*columns).unionByName(bare.select(*columns))

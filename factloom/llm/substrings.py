@@ -16,7 +16,8 @@ windows have equal keys. Two Spark rounds settle which windows are repeated:
    answer with one bit each: does a smaller id have it in another chunk?
 
 However many documents share a passage, a chunk sends it once. The answers are joined back to the chunks, which were written
-to the shared folder, and each chunk removes its words. Digests of windows have 64 bits.
+to the shared folder, and each chunk removes its words. Windows are told apart by 96 bits, not by their words: among 10^13 windows
+the chance that any two different ones agree is under 1 in 1000.
 
 Defined results: null text has no words; rows without doc_id neither lose words nor make others lose any; rows with equal ids
 don't take from each other; a text from which nothing is removed stays as it is; an empty table gives an empty one.
@@ -34,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, released, slices, utf8, written
-from .words import HASHES, mixed
+from .common import buckets_for, documents, released, slices, written
+from .words import Words, mixed
 
 #: Words of a window.
 WINDOW = 13
@@ -93,10 +94,10 @@ def _best(level: Level, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_digests(h: np.ndarray, n: int = WINDOW) -> np.ndarray:
+def window_digests(h: np.ndarray, n: int = WINDOW, seed: int = 0) -> np.ndarray:
     """Digests of all windows of n, put together from windows of powers of two."""
     out, width, at = None, 1, 0
-    power = h
+    power = mixed(h ^ _U(seed)) if seed else h
     while n >> at:
         if n >> at & 1:
             done = n & ((1 << at) - 1)
@@ -128,17 +129,19 @@ class Chunk:
 
     def __init__(self, rows: pa.RecordBatch, keyed: bool = True):
         self.rows = rows
-        self.words = [(t or b"").split() for t in utf8(rows.column("text"))]
-        self.counts = np.array([len(w) for w in self.words], np.int64)
-        self.first = np.cumsum(self.counts) - self.counts
-        h = HASHES.of([w for words in self.words for w in words])
-        ids = rows.column("doc_id").to_pylist()
-        inside = np.ones(len(h), bool)
-        for f, c, i in zip(self.first, self.counts, ids):
-            inside[max(f, f + c - WINDOW + 1) if i is not None else f : f + c] = False
-        self.starts = np.flatnonzero(inside)
-        doc = np.repeat(np.arange(len(ids)), self.counts)[self.starts]
-        self.doc = np.array([0 if i is None else i for i in ids], np.int64)[doc]
+        self.words = w = Words(rows.column("text"))
+        h, self.first = w.hashes, w.first[:-1]
+        self.counts = np.diff(w.first)
+        ids = rows.column("doc_id")
+        valid = ids.is_valid().to_numpy(zero_copy_only=False)
+        # windows start where WINDOW words follow in a document that has an id
+        last = np.where(valid, np.maximum(self.first, w.first[1:] - WINDOW + 1), self.first)
+        edges = np.zeros(len(h) + 1, np.int64)
+        np.add.at(edges, self.first, 1)
+        np.add.at(edges, last, -1)
+        self.starts = np.flatnonzero(np.cumsum(edges)[: len(h)])
+        doc = np.repeat(np.arange(len(valid)), self.counts)[self.starts]
+        self.doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
         if len(self.starts):
             digests = window_digests(h)
             self.digests = digests[self.starts]
@@ -146,6 +149,22 @@ class Chunk:
         else:
             self.digests = self.keys = np.empty(0, _U)
 
+    def kept(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the kept words joined by one space, where each document's begin, one more than documents)."""
+        w = self.words
+        kept = np.flatnonzero(keep)
+        row = np.searchsorted(w.first, kept, side="right") - 1
+        follows = np.r_[row[1:] == row[:-1], np.zeros(min(1, len(row)), bool)]
+        begin, end = w.starts[kept], w.ends[kept] + follows
+        data = w.data.copy()
+        data[w.ends[kept[follows]]] = 0x20
+        edges = np.zeros(len(data) + 1, np.int8)
+        edges[begin] += 1
+        edges[end[end < len(edges)]] -= 1
+        out = data[np.cumsum(edges, dtype=np.int8)[: len(data)].astype(bool)]
+        size = np.bincount(row, weights=end - begin, minlength=len(self.counts)).astype(np.int64)
+        return out, np.r_[0, np.cumsum(size)]
+
     def distinct_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct keys, whether several documents of the chunk have each)."""
         if not len(self.keys):
@@ -163,12 +182,18 @@ class Chunk:
         shared = keys[several | _answered(keys, answers, buckets)]
         return np.flatnonzero(np.isin(self.keys, shared))
 
-    def least(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct digests, smallest id that has each, which of them each window has)."""
-        d, inverse = np.unique(self.digests[windows], return_inverse=True)
-        low = np.full(len(d), np.iinfo(np.int64).max)
+    def least(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct digests, 32 further bits of each, smallest id that has each, which of them each window has)."""
+        d = self.digests[windows]
+        more = (window_digests(self.words.hashes, seed=0x5BD1E995)[self.starts[windows]] if len(windows) else d) >> _U(32)
+        order = np.lexsort((more, d))
+        fresh = np.r_[True, (d[order][1:] != d[order][:-1]) | (more[order][1:] != more[order][:-1])] if len(d) else np.empty(0, bool)
+        inverse = np.empty(len(d), np.int64)
+        inverse[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
+        low = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(low, inverse, self.doc[windows])
-        return d, low, inverse
+        return d[first], more[first].astype(np.uint32), low, inverse
 
 
 def _bucket(digests: np.ndarray, buckets: int) -> np.ndarray:
@@ -268,22 +293,26 @@ def _is_shared(messages: list[bytes]) -> list[np.ndarray]:
 
 def _has_smaller(messages: list[bytes]) -> list[np.ndarray]:
     """Of digests with ids: those whose digest comes with a smaller id too."""
-    digests, ids = [], []
+    digests, more, ids = [], [], []
     for m in messages:
-        n = len(m) // 16
-        digests.append(np.frombuffer(m[: 8 * n], _U))
+        n = len(m) // 20
+        digests.append(np.frombuffer(m, _U, n))
+        more.append(np.frombuffer(m, np.uint32, n, 8 * n))
         # ids by byte planes, which compress well
-        ids.append(np.ascontiguousarray(np.frombuffer(m[8 * n :], np.uint8).reshape(8, n).T).view(np.int64).ravel())
-    _, inverse = np.unique(np.concatenate(digests), return_inverse=True)
-    every = np.concatenate(ids)
-    low = np.full(inverse.max(initial=0) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(low, inverse, every)
-    return np.split(low[inverse] < every, np.cumsum([len(d) for d in digests])[:-1])
-
-
-def _removed(docs: DataFrame, output: Callable[[Chunk, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
-    """``output`` of each chunk with its documents' kept-word masks."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+        ids.append(np.ascontiguousarray(np.frombuffer(m, np.uint8, 8 * n, 12 * n).reshape(8, n).T).view(np.int64).ravel())
+    d, e, every = np.concatenate(digests), np.concatenate(more), np.concatenate(ids)
+    order = np.lexsort((every, e, d))
+    d, e = d[order], e[order]
+    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (e[1:] != e[:-1])]) if len(d) else np.empty(0, np.int64)
+    least = np.repeat(every[order][first], np.diff(np.r_[first, len(d)]))
+    out = np.empty(len(d), bool)
+    out[order] = least < every[order]
+    return np.split(out, np.cumsum([len(x) for x in digests])[:-1])
+
+
+def _removed(docs: DataFrame, output: Callable[[Chunk, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``output`` of each chunk with the mask of its kept words."""
+    buckets = buckets_for(docs, 16 << 20) * 2
     chunks = written(_chunks(docs), "chunks")
 
     def keys(one: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
@@ -297,12 +326,12 @@ def _removed(docs: DataFrame, output: Callable[[Chunk, list[np.ndarray]], pa.Rec
     def windows(one: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         chunk = Chunk(_opened(one.column("rows")[0].as_py()))
         open_ = chunk.repeated(_answers(one, "shared"), buckets)
-        d, low, _ = chunk.least(open_)
+        d, more, low, _ = chunk.least(open_)
         note = np.zeros(len(chunk.starts), bool)
         note[open_] = True
         yield -1 - one.column("chunk")[0].as_py() % buckets, np.packbits(note).tobytes()
         for b, at in _dealt(d, buckets):
-            yield b, d[at].tobytes() + np.ascontiguousarray(low[at].view(np.uint8).reshape(-1, 8).T).tobytes()
+            yield b, d[at].tobytes() + more[at].tobytes() + np.ascontiguousarray(low[at].view(np.uint8).reshape(-1, 8).T).tobytes()
 
     smaller = _ask(keyed, windows, _has_smaller, buckets).select(F.col("chunk").alias("__c"), F.col("answers").alias("smaller"))
 
@@ -313,14 +342,14 @@ def _removed(docs: DataFrame, output: Callable[[Chunk, list[np.ndarray]], pa.Rec
                 chunk, answers = Chunk(_opened(one.column("rows")[0].as_py()), keyed=False), _answers(one, "smaller")
                 note = next(bits for b, bits in answers.items() if b < 0)
                 at = np.flatnonzero(np.unpackbits(np.frombuffer(note, np.uint8))[: len(chunk.starts)])
-                d, low, which = chunk.least(at)
+                d, _, low, which = chunk.least(at)
                 gone = _answered(d, answers, buckets)[which] | (low[which] < chunk.doc[at])
                 total = int(chunk.counts.sum())
                 edges = np.zeros(total + 1, np.int64)
                 np.add.at(edges, chunk.starts[at[gone]], 1)
                 np.add.at(edges, chunk.starts[at[gone]] + WINDOW, -1)
                 keep = np.cumsum(edges)[:total] == 0
-                yield output(chunk, [keep[f : f + c] for f, c in zip(chunk.first, chunk.counts)])
+                yield output(chunk, keep)
         released()
 
     return chunks.join(smaller, F.col("chunk") == F.col("__c")).drop("__c").mapInArrow(remove, schema)
@@ -329,10 +358,12 @@ def _removed(docs: DataFrame, output: Callable[[Chunk, list[np.ndarray]], pa.Rec
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
 
-    def output(chunk: Chunk, keep: list[np.ndarray]) -> pa.RecordBatch:
-        kept = [b" ".join([w for w, k in zip(words, m.tolist()) if k] if not m.all() else words) for words, m in zip(chunk.words, keep)]
+    def output(chunk: Chunk, keep: np.ndarray) -> pa.RecordBatch:
+        text, first = chunk.kept(keep)
+        raw = memoryview(text)
+        gone = chunk.counts - np.diff(np.r_[0, np.cumsum(keep)][chunk.words.first])
         return pa.RecordBatch.from_arrays(
-            [chunk.rows.column("doc_id"), pa.array(chunk.counts), pa.array([int(len(m) - m.sum()) for m in keep], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())],
+            [chunk.rows.column("doc_id"), pa.array(chunk.counts), pa.array(gone), pa.array([hashlib.sha256(raw[f:e]).hexdigest() for f, e in zip(first[:-1].tolist(), first[1:].tolist())], pa.string())],
             ["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
@@ -342,11 +373,15 @@ def removals(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``; texts that lose words become their kept words, joined by one space."""
 
-    def output(chunk: Chunk, keep: list[np.ndarray]) -> pa.RecordBatch:
-        old = chunk.rows.column("text").to_pylist()
-        text = [t if m.all() else b" ".join(w for w, k in zip(words, m.tolist()) if k).decode() for t, words, m in zip(old, chunk.words, keep)]
+    def output(chunk: Chunk, keep: np.ndarray) -> pa.RecordBatch:
+        text, first = chunk.kept(keep)
+        raw = text.tobytes()
+        gone = chunk.counts - np.diff(np.r_[0, np.cumsum(keep)][chunk.words.first])
+        texts = chunk.rows.column("text").to_pylist()
+        for k in np.flatnonzero(gone).tolist():
+            texts[k] = raw[first[k] : first[k + 1]].decode()
         at = chunk.rows.schema.get_field_index("text")
-        return chunk.rows.set_column(at, chunk.rows.schema.field(at), pa.array(text, chunk.rows.schema.field(at).type))
+        return chunk.rows.set_column(at, chunk.rows.schema.field(at), pa.array(texts, chunk.rows.schema.field(at).type))
 
     return _removed(docs, output, docs.schema)
 

@@ -190,15 +190,42 @@ def corpus(seed, n=120):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_jaccard_equals_brute_force(spark, monkeypatch, seed):
-    # small bounds, so that moved pivots, further pivots and spread records all take part
-    for name, value in (("SMALL", 3), ("PACKED", 500), ("SPREAD", 2), ("FREQUENT", 3), ("OFTEN", 2)):
-        monkeypatch.setattr(jaccard, name, value)
+    # small bounds, so that mappers send often; regions beyond a task's size in the second seed
+    monkeypatch.setattr(jaccard, "PACKED", 300)
+    monkeypatch.setattr(jaccard, "REGION", {1: 4_000_000, 2: 150, 3: 400}[seed])
     rows = corpus(seed)
     want = brute.jaccard(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_regions_are_joined_exactly(monkeypatch, seed):
+    r = np.random.default_rng(seed)
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    base = [r.choice(2000, r.integers(3, 60), replace=False) for _ in range(6)]
+    sets = []
+    for _ in range(120):
+        s = set(base[r.integers(6)].tolist())
+        for _ in range(r.integers(0, 12)):
+            if len(s) > 1 and r.random() < 0.5:
+                s.discard(r.choice(sorted(s)))
+            else:
+                s.add(int(r.integers(2000)))
+        sets.append(s)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
+    region = jaccard._Region([np.array(sorted(s), np.uint64) for s in sets])
+    region.join(np.arange(len(sets)))
+    assert dict(enumerate(region.label.tolist())) == brute.components(range(len(sets)), links)
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    rows = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (1, "a b c d e f g h"), (2, "a b c d e f g h"), (None, "a b c d e f g h"), (None, None), (3, " "), (3, " ")]
+    kept = jaccard.one_of_each(spark.createDataFrame([(*x, k, "own") for k, x in enumerate(rows)], "doc_id long, text string, k int, __hash string"))
+    assert sorted((str(r.doc_id), str(r.text), r["__hash"]) for r in kept.collect()) == sorted([("1", rows[0][1], "own"), ("1", rows[1][1], "own"), ("None", rows[0][1], "own"), ("None", "None", "own"), ("3", " ", "own"), ("3", " ", "own")])
+
+
 def test_one_of_each(spark):
     rows = corpus(4) + [(500, None), (501, "")]
     want = brute.jaccard(rows)
@@ -345,17 +372,12 @@ def test_licenses_equal_brute_force(spark):
     scanner = licenses.Scanner(licenses.TEMPLATES)
     got = {x.doc_id: {m.split("@")[0] for m in x.matches.split(";") if m} for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k, text in rows:
-        h = scanner.hashes.of(text.encode().split())
-        s = licenses.shingles(h, 5)
-        for window, stride, _, _, _, templates in scanner.groups:
-            n = window - 4
-            for name, own in templates:
-                # at any place, not only at the strides' windows
-                best = max((np.isin(own, s[a : a + n]).mean() for a in range(len(s))), default=0)
-                if name in got[k]:
-                    assert best >= 0.75
-                elif best == 1:
-                    raise AssertionError((k, name))
+        s = licenses.shingles(licenses._words([text.encode()]).hashes, 5)
+        for group in scanner.groups:
+            for name, own in group.templates:
+                # at any place
+                best = max((np.isin(own, s[a : a + group.window - 4]).mean() for a in range(len(s))), default=0)
+                assert (name in got[k]) == (best >= 0.75), (k, name)
 
 
 def test_written_tables_are_shared(spark):
