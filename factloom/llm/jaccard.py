@@ -139,11 +139,11 @@ def signatures(docs: DataFrame, buckets: int) -> DataFrame:
                 records.setdefault(b, [b"", b""])[0] = (lone[x] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() + lone_at[x].tobytes()
             for b, x in _by_bucket(shared):
                 records.setdefault(b, [b"", b""])[1] = (shared[x] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes()
-            done = 0
             for rows, classes, sizes, idx in rows_of:
                 where = np.array(idx, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([home] * len(idx), pa.int32()), pa.array([chunk] * len(idx), pa.int64()), pa.array(idx, pa.int32()), rows.column("doc_id"), rows.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(np.where(where >= 0, found[np.maximum(where, 0)] if len(found) else 0, 0)), pa.nulls(len(idx), pa.binary())], names)
-                done += len(idx)
+                count = np.where(where >= 0, found[np.maximum(where, 0)] if len(found) else 0, 0)
+                spread = np.arange(len(idx)) // 64
+                yield pa.RecordBatch.from_arrays([pa.array(((home + spread) % buckets).astype(np.int32)), pa.array([chunk] * len(idx), pa.int64()), pa.array(idx, pa.int32()), rows.column("doc_id"), rows.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(count), pa.nulls(len(idx), pa.binary())], names)
             # the last row says how many answers there will be
             lists = [[*records, home], [len(v[0]) // 6 for v in records.values()] + [len(records)], [b"".join(v) for v in records.values()] + [None]]
             m = len(lists[0])

@@ -7,8 +7,8 @@ pieces, which lists the tokens that end at each place, and a test of pairs; the
 Two tokens can stand side by side if BPE, run on their joined string, never merges across the seam. The test replays both
 merge histories from the seam outwards, without running BPE.
 
-No piece holds the word mark after another character, so no merge crosses such a place and texts are cut there; the cuts'
-encodings are kept in a bounded table of each Python worker.
+No piece holds the word mark after another character, so no merge crosses such a place and texts are cut there. Of some megabytes
+of texts each distinct cut is encoded once, and decoded once from its ids; encodings are kept in a bounded table of each Python worker.
 
 Defined results: null text is encoded as empty text, and empty text has no ids; repeated rows are encoded alike; columns
 besides those named are dropped.
@@ -16,19 +16,47 @@ besides those named are dropped.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, released
+from .common import documents, released, slices
+from .words import Words, hashed, mixed
 
 MARK = "▁"
-#: Entries of a worker's table of encoded cuts; the table starts anew when it is full.
-KEPT = 200_000
+#: Entries of each of the two generations of a worker's tables: of encoded cuts, and of answers about pairs.
+KEPT = 400_000
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[[0x20, 0x0A]] = True
+
+
+_CUT = re.compile(f"[{MARK}\n]*[^{MARK}\n]+|[{MARK}\n]+")
+
+
+class Kept(dict):
+    """A table of at most two generations of ``KEPT`` entries: what is asked for moves to the younger; the older one goes when that is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= KEPT:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def default_model() -> str:
@@ -55,13 +83,13 @@ class Encoder:
         self.surface = {}
         for i in range(n):
             if sp.is_byte(i):
-                self.surface[str(i)] = bytes([int(self.pieces[i][3:5], 16)])
+                self.surface[b"%d" % i] = bytes([int(self.pieces[i][3:5], 16)])
             elif sp.is_control(i):
-                self.surface[str(i)] = b""
+                self.surface[b"%d" % i] = b""
             elif sp.is_unknown(i):
-                self.surface[str(i)] = b" \xe2\x81\x87 "
+                self.surface[b"%d" % i] = b" \xe2\x81\x87 "
             else:
-                self.surface[str(i)] = self.pieces[i].replace(MARK, " ").encode()
+                self.surface[b"%d" % i] = self.pieces[i].replace(MARK, " ").encode()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds the word mark after another character; texts can't be cut at words")
         self.halves: dict[int, tuple[int, int]] = {}
@@ -73,8 +101,9 @@ class Encoder:
             if len(p) == 1 or i in self.halves:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.fits: dict[int, bool] = {}
-        self.kept: dict[str, str] = {}
+        # (whether two tokens can stand side by side) by the two ids in one number
+        self.fits = Kept(lambda pair: self._compatible(pair >> 20, pair & 0xFFFFF))
+        self.kept = Kept(self._encoded)
 
     def _last_merge(self, piece: str) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``piece`` when BPE runs on it alone; None if BPE never makes it."""
@@ -128,13 +157,7 @@ class Encoder:
                 continue
             start = end - n
             if start >= 0 and (before := last[start]) >= 0:
-                pair = before << 32 | token
-                ok = fits.get(pair)
-                if ok is None:
-                    if len(fits) >= 2 * KEPT:
-                        fits.clear()
-                    ok = fits[pair] = self._compatible(before, token)
-                if not ok:
+                if not fits[before << 20 | token]:
                     continue
             elif start >= 0 and cut[start] in self.ids:
                 continue
@@ -150,36 +173,58 @@ class Encoder:
                 end -= size[end]
         return ids[::-1]
 
+    def _encoded(self, cut: str) -> tuple[bytes, bytes, int]:
+        """(decimal ids joined by commas, the bytes that they stand for, number of ids) of a cut."""
+        ids = ",".join(map(str, self._pieces_of(cut))).encode()
+        return ids, self.surface_of(ids), ids.count(b",") + 1
+
+    def cuts(self, text: str) -> list[str]:
+        """Runs of marks and line ends stay with the word that follows; a run at the end is a cut of its own."""
+        return _CUT.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def of_cut(self, cut: str) -> tuple[bytes, bytes, int]:
+        return self.kept[cut] if len(cut) <= 64 else self._encoded(cut)
+
     def encode(self, text: str) -> str:
         """The decimal ids, joined by commas."""
-        if not text:
-            return ""
-        kept, out = self.kept, []
-        # runs of marks stay with the word that follows; a mark alone is a word of no letters
-        words = text.replace(MARK, " ").split(" ")
-        if "" in words:
-            merged, run = [], MARK
-            for w in words:
-                if w:
-                    merged.append(run + w)
-                    run = MARK
-                else:
-                    run += MARK
-            if len(run) > 1:
-                merged.append(run[1:])
-        else:
-            merged = [MARK + w for w in words]
-        get = kept.get
-        for cut in merged:
-            ids = get(cut)
-            if ids is None:
-                ids = ",".join(map(str, self._pieces_of(cut)))
-                if len(cut) <= 64:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[cut] = ids
-            out.append(ids)
-        return ",".join(out)
+        return b",".join([self.of_cut(c)[0] for c in self.cuts(text)]).decode()
+
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[bytes, bytes, int]]:
+        """For each text (null: empty) its ids joined by commas, the bytes they stand for, and their number."""
+        w = Words(column, separators=_BETWEEN)
+        has = w.first[1:] > w.first[:-1]
+        heads, raw = w.first[:-1][has], w.data.tobytes()
+        # what stands between a word and the one before it, or the text's start
+        behind = np.r_[0, w.ends[:-1]]
+        behind[heads] = w.offsets[:-1][has]
+        size, gap = w.ends - w.starts, w.starts - behind
+        keys = w.hashes + np.uint64(3) * hashed(w.data, behind, w.starts)
+        keys[heads] ^= np.uint64(0xD6E8FEB86659FD93)
+        codes, _ = pd.factorize(mixed(keys))
+        found = np.full(codes.max(initial=-1) + 1, -1)
+        found[codes[::-1]] = np.arange(len(codes))[::-1]
+        # equal digests are equal cuts but for one slice in very many, which is then encoded text by text
+        if MARK.encode() in raw or (size != size[found[codes]]).any() or (gap != gap[found[codes]]).any():
+            for value in column:
+                parts = [self.of_cut(c) for c in self.cuts(value.as_py() or "")]
+                yield b",".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), sum(p[2] for p in parts)
+            return
+        of_cut, head = self.of_cut, np.zeros(len(codes), bool)
+        head[heads] = True
+        entries = [of_cut(MARK * h + raw[b:s].decode().replace(" ", MARK) + raw[s:e].decode()) for h, b, s, e in zip(head[found].tolist(), behind[found].tolist(), w.starts[found].tolist(), w.ends[found].tolist())]
+        ids, surfaces = [x[0] for x in entries], [x[1] for x in entries]
+        counts = np.r_[0, np.cumsum(np.array([x[2] for x in entries], np.int64)[codes])] if entries else np.zeros(1, np.int64)
+        ended = np.maximum(w.offsets[:-1], np.r_[0, w.ends][w.first[1:]])
+        codes_ = codes.tolist()
+        for f, e, end, stop in zip(w.first[:-1].tolist(), w.first[1:].tolist(), ended.tolist(), w.offsets[1:].tolist()):
+            here = codes_[f:e]
+            a, b, n = [ids[k] for k in here], [surfaces[k] for k in here], int(counts[e] - counts[f])
+            if end < stop:
+                more = of_cut(MARK * (f == e) + raw[end:stop].decode().replace(" ", MARK))
+                a.append(more[0])
+                b.append(more[1])
+                n += more[2]
+            yield b",".join(a), b"".join(b), n
 
     def _pieces_of(self, cut: str) -> list[int]:
         if "\n" not in cut or "\n" in self.ids:
@@ -191,26 +236,29 @@ class Encoder:
             ids += self._cut_ids(line) if line else []
         return ids
 
+    def surface_of(self, ids: bytes) -> bytes:
+        """The bytes that comma-joined ids stand for."""
+        surface = self.surface
+        return b"".join([surface[i] for i in ids.split(b",")]) if ids else b""
+
     def decode(self, ids: str) -> str:
         """The text of comma-joined ids; bytes that are no UTF-8 become U+FFFD, one for each."""
-        if not ids:
-            return ""
-        surface = self.surface
-        raw = b"".join([surface[i] for i in ids.split(",")])
-        # the library drops the space it put before the text
-        raw = raw[1:] if raw[:1] == b" " else raw
-        try:
-            return raw.decode()
-        except UnicodeDecodeError:
-            return raw.decode(errors="factloom-each-byte")
+        return text_of(self.surface_of(ids.encode()))
+
+
+def text_of(raw: bytes) -> str:
+    """The library drops the space that it put before a text."""
+    raw = raw[1:] if raw[:1] == b" " else raw
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode(errors="factloom-each-byte")
 
 
 def _each_byte(e: UnicodeDecodeError) -> tuple[str, int]:
     return "�", e.start + 1
 
 
-import codecs  # noqa: E402
-
 codecs.register_error("factloom-each-byte", _each_byte)
 
 _encoders: dict[str, Encoder] = {}
@@ -230,16 +278,15 @@ def encode(docs: DataFrame, model: str | None = None, id_column: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for batch in batches:
+        for batch in slices(batches, "text", 1 << 22):
             rows: dict[str, list] = {"n_tokens": [], "ids": [], "ids_sha256": [], "decoded": [], "decoded_sha256": []}
-            for value in batch.column("text"):
-                ids = enc.encode(value.as_py() or "")
-                decoded = enc.decode(ids)
-                rows["n_tokens"].append(ids.count(",") + 1 if ids else 0)
-                rows["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+            for ids, raw, n in enc.encode_column(batch.column("text")):
+                decoded = text_of(raw)
+                rows["n_tokens"].append(n)
+                rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                 rows["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    rows["ids"].append(ids)
+                    rows["ids"].append(ids.decode())
                     rows["decoded"].append(decoded)
             if not keep_ids:
                 del rows["ids"], rows["decoded"]

@@ -26,14 +26,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of ``data``, which goes on for eight bytes after the last."""
+    size = ends - starts
+    eight = np.ndarray((max(0, len(data) - 7),), "<u8", data.data, strides=(1,))
+    # the size tells words from those with zero bytes behind them
+    h = mixed((eight[starts] & _FIRST[np.minimum(size, 8)]) ^ mixed(size.astype(np.uint64)))
+    at, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(at):
+        h[at] = mixed((h[at] + np.uint64(0x9E3779B97F4A7C15)) ^ (eight[starts[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]))
+        done += 8
+        at = at[size[at] > done]
+    for k in np.flatnonzero(size > LONG):
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].data)
+    return h
+
+
 class Words:
     """The words of a column of texts (null: none): ``hashes``, and where each row's words begin (``first``, one more than rows).
 
     ``starts`` and ``ends`` are their places in ``data``, the bytes of all rows (lower-cased if asked for). ``strip`` takes ASCII
-    punctuation from both ends of words that hold something else.
+    punctuation from both ends of words that hold something else; ``separators`` marks the bytes that no word holds.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False, strip: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, strip: bool = False, separators: np.ndarray = _SPACE):
         column = column.cast(pa.large_binary())
         if column.null_count:
             column = column.fill_null(b"")
@@ -45,13 +61,13 @@ class Words:
             here = np.frombuffer(raw, np.uint8, high - low, low)
             data[: high - low] = _LOWER[here] if lower else here
         self.data, self.offsets = data, offsets - low if len(column) else np.zeros(1, np.int64)
-        self._split(high - low)
+        self._split(high - low, separators)
         if strip:
             self._strip()
-        self.hashes = self._hashed()
+        self.hashes = hashed(self.data, self.starts, self.ends)
 
-    def _split(self, n: int) -> None:
-        space = _SPACE[self.data[:n]]
+    def _split(self, n: int, separators: np.ndarray) -> None:
+        space = separators[self.data[:n]]
         inside = self.offsets[(self.offsets > 0) & (self.offsets < n)]
         after = np.r_[True, space[:-1]] if n else space
         before = np.r_[space[1:], True] if n else space
@@ -74,19 +90,6 @@ class Words:
             at = at[_PUNCTUATION[self.data[ends[at] - 1]]]
         self.starts, self.ends = np.where(some, starts, self.starts), np.where(some, ends, self.ends)
 
-    def _hashed(self) -> np.ndarray:
-        size = self.ends - self.starts
-        eight = np.ndarray((max(0, len(self.data) - 7),), "<u8", self.data.data, strides=(1,))
-        h = mixed(eight[self.starts] & _FIRST[np.minimum(size, 8)])
-        at, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
-        while len(at):
-            h[at] = mixed((h[at] + np.uint64(0x9E3779B97F4A7C15)) ^ (eight[self.starts[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]))
-            done += 8
-            at = at[size[at] > done]
-        for k in np.flatnonzero(size > LONG):
-            h[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k] : self.ends[k]].data)
-        return h
-
     def row(self, k: int) -> np.ndarray:
         return self.hashes[self.first[k] : self.first[k + 1]]
 
