@@ -1,13 +1,15 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-A bounded sample of vectors serves as reference points (pivots). Each vector is described by its ``NEAREST`` nearest pivots,
-as a set without their order, and entered in the inverted list of each. Two vectors are compared if they share a pivot; a pair that shares several
-is counted in the list of the least of them alone, so link counts are sums over lists. Pairs are verified by their cosine in
+A bounded sample of vectors serves as reference points (pivots). Each vector is described by its ``NEAREST`` nearest pivots in
+order, and entered in the inverted lists of the first ``LISTED`` of them. Two vectors of a list are retrieved if they have ``SHARED``
+of their nearest pivots in common, counted by a product of indicator rows; a pair that meets in several lists is taken in that of the
+least pivot alone, so link counts are sums over lists. Retrieved pairs are verified by their cosine in
 double precision, a block of a list against a block of it at a time, so a long list is many tasks of a bounded size and no
 pair ever leaves its task: a task returns each vector's links and the least vector it is connected to.
 
 Equal vectors are one entry with a weight. The number of pivots grows with the square root of the vectors up to
-``MOST_PIVOTS``; each length of vectors has pivots of its own. The index is approximate: pairs that share no pivot are missed; tests measure the recall.
+``MOST_PIVOTS`` or ``MOST_BYTES``, which bounds what travels with the code; beyond that lists grow with the vectors, none is cut. Each
+length of vectors has pivots of its own. The index is approximate: pairs that share too few pivots are missed; tests measure the recall.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with nothing, and vectors link with
 those of their length alone; rows without vec_id link with nothing and have no component; rows with equal ids and vectors are entries of
@@ -26,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .graph import components
+from .graph import components, least_connected
 
 COSINE = 0.95
 #: Pivots: multiples of the root of the number of vectors, with bounds.
-PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 8, 64, 16_384
-NEAREST = 8
+PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS, MOST_BYTES = 8, 64, 65_536, 64 << 20
+#: Pivots in a vector's permutation; lists that it is entered in; pivots that two permutations must have in common.
+NEAREST, LISTED, SHARED = 8, 5, 3
 #: Pivots have a cosine below this with each other.
 APART = 0.8
 #: Vectors in a block of a list.
@@ -47,10 +50,12 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for n in sorted(by_length):
         at = np.array([k for k, _ in by_length[n]])
         x = np.array([v for _, v in by_length[n]], float)
-        norm = np.linalg.norm(x, axis=1)
-        ok = np.isfinite(x).all(axis=1) & (norm > 0) & np.isfinite(norm)
+        largest = np.abs(x).max(axis=1)
+        ok = np.isfinite(largest) & (largest > 0)
         if ok.any():
-            yield at[ok], x[ok] / norm[ok][:, None]
+            # by the largest component first, so that no square overflows or vanishes; a subnormal one is raised by a power of two
+            x = np.ldexp(x[ok], -np.frexp(largest[ok])[1][:, None])
+            yield at[ok], x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def _entries(vectors: DataFrame) -> DataFrame:
@@ -79,7 +84,7 @@ def _apart(x: np.ndarray) -> np.ndarray:
 
 
 def _lists(distinct: DataFrame, pivots: dict[int, tuple[int, np.ndarray]], nearest: int) -> DataFrame:
-    """pivot, rep, weight, pivots (ascending), unit vector; a row for each of a vector's nearest pivots.
+    """pivot, rep, weight, pivots (nearest first), unit vector; a row for each list that a vector is entered in.
 
     ``pivots`` has for each length of vectors the number of the first of its pivots, and the pivots.
     """
@@ -92,10 +97,12 @@ def _lists(distinct: DataFrame, pivots: dict[int, tuple[int, np.ndarray]], neare
                     first, of_length = pivots[x.shape[1]]
                     near = x @ of_length.T
                     k = min(nearest, len(of_length))
-                    order = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1) + first
+                    some = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                    order = np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable"), axis=1) + first
+                    lists = min(LISTED, k)
                     rep, weight = (np.array(batch.column(c).to_pylist())[at] for c in ("rep", "weight"))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(order.ravel(), pa.int32()), pa.array(rep.repeat(k), pa.int64()), pa.array(weight.repeat(k), pa.int64()), pa.array([p for o in order.astype(np.int32) for p in [o.tobytes()] * k], pa.binary()), pa.array([v for u in x for v in [u.tobytes()] * k], pa.binary())],
+                        [pa.array(order[:, :lists].ravel(), pa.int32()), pa.array(rep.repeat(lists), pa.int64()), pa.array(weight.repeat(lists), pa.int64()), pa.array([p for o in order.astype(np.int32) for p in [o.tobytes()] * lists], pa.binary()), pa.array([v for u in x for v in [u.tobytes()] * lists], pa.binary())],
                         ["pivot", "rep", "weight", "pivots", "unit"],
                     )
 
@@ -109,34 +116,34 @@ def _compare(cosine: float):
         own = np.frombuffer(b"".join(table.column("pivots").to_pylist()), np.int32).reshape(len(rep), -1)
         pivot, left, right = (table.column(c)[0].as_py() for c in ("pivot", "left", "right"))
         a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        links = np.zeros(len(rep), np.int64)
         order = np.argsort(rep, kind="stable")
         rank = np.empty(len(rep), np.int64)
         rank[order] = np.arange(len(rep))
-        label = rank.copy()
         found: list[tuple[np.ndarray, np.ndarray]] = []
+        # indicator rows of the pivots that occur here; their products count what two permutations have in common
+        names, code = np.unique(own, return_inverse=True)
+        has = np.zeros((len(rep), len(names)), np.float32)
+        np.put_along_axis(has, code.reshape(own.shape), 1, axis=1)
+        listed = np.sort(own[:, :LISTED], axis=1)
+        need, step = min(SHARED, own.shape[1]), max(1, (1 << 21) // x.shape[1])
         for s in range(0, len(a), 256):
-            i, j = np.nonzero(x[a[s : s + 256]] @ x[b].T >= cosine)
+            i, j = np.nonzero(has[a[s : s + 256]] @ has[b].T >= need)
             i, j = a[s : s + 256][i], b[j]
             if left == right:
                 i, j = i[i < j], j[i < j]
-            for t in range(0, len(i), 100_000):
-                u, v = i[t : t + 100_000], j[t : t + 100_000]
-                shared = (own[u][:, :, None] == own[v][:, None, :]).any(axis=2)
-                mine = np.where(shared, own[u], np.iinfo(np.int32).max).min(axis=1) == pivot
+            for t in range(0, len(i), step):
+                u, v = i[t : t + step], j[t : t + step]
+                near = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
+                u, v = u[near], v[near]
+                shared = (listed[u][:, :, None] == listed[v][:, None, :]).any(axis=2)
+                mine = np.where(shared, listed[u], np.iinfo(np.int32).max).min(axis=1) == pivot
                 u, v = u[mine], v[mine]
                 np.add.at(links, u, weight[v])
                 np.add.at(links, v, weight[u])
                 found.append((u, v))
         u, v = (np.concatenate([f[k] for f in found]) if found else np.empty(0, int) for k in (0, 1))
-        while len(u):
-            before = label.copy()
-            least = np.minimum(label[u], label[v])
-            np.minimum.at(label, u, least)
-            np.minimum.at(label, v, least)
-            label = np.minimum(label, label[order[label]])
-            if (label == before).all():
-                break
+        label = least_connected(len(rep), rank[u], rank[v])[rank]
         some = links > 0
         return pa.table({"rep": pa.array(rep[some]), "links": pa.array(links[some]), "least": pa.array(rep[order[label]][some])})
 
@@ -156,7 +163,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST) ->
         # each length of vectors has pivots of its own
         pivots, first = {}, 0
         for length, vectors_of_it in sorted(distinct.groupBy(F.size("embedding")).count().toLocalIterator()):
-            m = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(PER_ROOT * math.sqrt(vectors_of_it))))
+            m = min(MOST_PIVOTS, max(1, MOST_BYTES // (8 * length)), max(LEAST_PIVOTS, math.ceil(PER_ROOT * math.sqrt(vectors_of_it))))
             chosen = distinct.where(F.size("embedding") == length).orderBy(F.md5("digest"), "rep").limit(m).select("embedding").toArrow()
             pivots[length] = first, _apart(next(_matrices(chosen.column("embedding").combine_chunks()))[1])
             first += len(pivots[length][1])
