@@ -83,6 +83,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start)
 
 
+def sampled(known: DataFrame, n: int) -> list:
+    """At most ``n`` rows of ``known``, least digest of the id first. A digest's threshold leaves about that many before any are sent to the driver."""
+    total = known.count()
+    if total > 2 * n:
+        known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) < int((1 << 40) * 1.5 * n / total))
+    return known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n).collect()
+
+
 def released() -> None:
     """Gives a worker's freed memory back to the system at the end of a task; workers live on and share an executor."""
     pa.default_memory_pool().release_unused()

@@ -112,10 +112,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def in_training_order(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position."""
-    plan = mix(docs, **how).where("copies > 0").groupBy("doc_id", "size").agg(F.max("positions").alias("__positions"))
-    joined = docs.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (word_count(F.col("d.text")) == F.col("p.size")))
-    return joined.select("d.*", F.explode("p.__positions").alias("__position")).orderBy("__position", "doc_id").drop("__position")
+    """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position.
+
+    Rows that the mix can't tell apart (of one id, source and size) are numbered on both sides, so each takes the copies of one of them.
+    """
+    same = lambda size: F.to_json(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), size.alias("n")))
+    plan = mix(docs, **how).select(same(F.col("size")).alias("same"), "positions")
+    plan = plan.withColumn("number", F.row_number().over(Window.partitionBy("same").orderBy(F.desc(F.size("positions")), "positions")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), same(word_count(F.col("text"))).alias("same"), F.xxhash64("text").alias("hash"))
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("same").orderBy("hash")))
+    joined = rows.join(plan.where(F.size("positions") > 0), ["same", "number"])
+    return joined.select("row", F.explode("positions").alias("position")).orderBy("position", "row.doc_id").select("row.*")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

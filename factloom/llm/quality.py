@@ -11,7 +11,8 @@ The classifier is fitted on at most ``SAMPLE`` labelled rows that are not held o
 Features, scores and joins are DataFrame expressions. In ``documents`` the source stands for the host and the language for the path.
 
 Defined results: null text is judged as empty text; null hosts form one host and null paths one path of their host; without
-labels of both classes the classifier says 0.5 and everything is kept; repeated rows are judged one by one.
+labels of both classes the classifier says 0.5 and everything is kept; ids labelled with both classes are not learned from; repeated
+rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labels, written
+from .common import documents, held_out, labels, sampled, written
 from .mixing import word_count
 from .toxicity import logistic
 
@@ -55,8 +56,14 @@ def features(text: Column) -> list[Column]:
 
 def fit(rows: DataFrame, marks: DataFrame) -> list[np.ndarray] | None:
     """``rows`` has doc_id and the array x; ``marks`` doc_id and quality."""
-    known = marks.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    sample = rows.select("doc_id", "x").join(known, "doc_id").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(SAMPLE).collect()
+    known = marks.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
+    chosen = sampled(known.join(rows.select("doc_id"), "doc_id", "left_semi"), SAMPLE)
+    if not chosen:
+        return None
+    # at most the sample's rows, so it may be broadcast; rows with an id in common count once
+    picked = F.broadcast(rows.sparkSession.createDataFrame(chosen, known.schema))
+    sample = rows.select("doc_id", "x").join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()
+    sample.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality for r in sample], float)
     return None if len(set(y)) < 2 else list(logistic(np.array([r.x for r in sample], float), y))
 
@@ -135,8 +142,9 @@ def classify(docs: DataFrame, marks: DataFrame, host: str = "source", path: str
 def kept(docs: DataFrame, marks: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
     _, model, sites = learn(docs, marks, host, path)
-    rows = docs.withColumn("__p", probability(F.array(*features(F.col("text"))), model)).withColumn("__h", F.col(host).cast("string")).withColumn("__q", F.col(path).cast("string"))
-    return sites.judged(rows, "__h", "__q", "__p").where(F.col("__posterior") >= KEEP).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the columns travel in a struct, so no name of theirs meets one used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), probability(F.array(*features(F.col("text"))), model).alias("p"), F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("q"))
+    return sites.judged(rows, "h", "q", "p").where(F.col("__posterior") >= KEEP).select("row.*")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

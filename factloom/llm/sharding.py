@@ -5,10 +5,10 @@ by the fan-in before it is below the smallest run; once a tier holds as many sha
 of the target size. Shards that have reached the target stay as they are, so every row is written a few times at most.
 A merge reads its runs and coalesces them, without a shuffle.
 
-The state is a manifest, a JSON list of shards with their sizes and tiers. Version n + 1 is written beside the others and
-renamed to its final name, which fails if another writer was first; readers see one whole version or the next. Shards that
-no version refers to any more are deleted after the commit, and a writer that dies leaves at most files that no manifest
-names. All file operations go through Hadoop's file system, so the store may lie anywhere that Spark can write.
+The state is a manifest, a JSON list of shards with their sizes and tiers. Version n + 1 is claimed by creating a file that must not
+be there yet, written beside the others and renamed to its final name; readers see one whole version or the next. The newest ``keep``
+versions stay readable: an older manifest is deleted first, then the shards that only it named. A writer that dies leaves at
+most a claim, which :meth:`Store.release` takes back, and files that no manifest names. All file operations go through Hadoop's file system, so the store may lie anywhere that Spark can write.
 
 Defined results: rows are kept exactly as they are, with all columns, nulls and repeats; an empty table has no shards.
 """
@@ -22,17 +22,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir
+from .common import documents, fresh, shared_dir
 
 #: Bytes of a finished shard, the fan-in of merges, the bytes of the smallest run.
 TARGET, FAN_IN, SMALLEST = 32 << 20, 8, 256 << 10
+#: Versions that stay readable.
+KEEP = 8
 #: Arrivals that a batch load is split into.
 ARRIVALS = 8
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, target: int = TARGET, fan_in: int = FAN_IN, smallest: int = SMALLEST):
-        self.spark, self.root, self.target, self.fan_in, self.smallest = spark, root.rstrip("/"), target, fan_in, smallest
+    def __init__(self, spark: SparkSession, root: str, target: int = TARGET, fan_in: int = FAN_IN, smallest: int = SMALLEST, keep: int = KEEP):
+        self.spark, self.root, self.target, self.fan_in, self.smallest, self.keep = spark, root.rstrip("/"), target, fan_in, smallest, max(1, keep)
         self.hadoop = spark._jvm.org.apache.hadoop.fs
         self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -59,15 +61,40 @@ class Store:
 
     def _commit(self, before: dict, shards: list[dict], schema: str) -> dict:
         after = {"version": before["version"] + 1, "schema": schema, "shards": sorted(shards, key=lambda s: s["name"])}
-        draft, final = self._path(f"manifests/.draft-{uuid.uuid4().hex}"), self._path(f"manifests/v{after['version']:08d}.json")
+        draft, final, claim = (self._path(f"manifests/{n}") for n in (f".draft-{uuid.uuid4().hex}", f"v{after['version']:08d}.json", f".claim-{after['version']:08d}"))
+        try:
+            self.fs.create(claim, False).close()
+        except Exception as e:
+            raise RuntimeError(f"version {after['version']} is claimed by another writer") from e
+        if self.fs.exists(final):
+            raise RuntimeError(f"version {after['version']} was committed by another writer")
         out = self.fs.create(draft)
         out.write(json.dumps(after).encode())
         out.close()
-        if self.fs.exists(final) or not self.fs.rename(draft, final):
+        if not self.fs.rename(draft, final):
             self.fs.delete(draft, False)
-            raise RuntimeError(f"version {after['version']} was committed by another writer")
+            raise RuntimeError(f"version {after['version']} could not be committed")
+        self._expire()
         return after
 
+    def release(self, version: int) -> None:
+        """Takes back the claim of a writer that died before its commit."""
+        if version not in self.versions():
+            self.fs.delete(self._path(f"manifests/.claim-{version:08d}"), False)
+
+    def _expire(self) -> None:
+        """Deletes versions beyond the newest ``keep``, and the shards that only they name."""
+        versions = self.versions()
+        old, new = versions[: -self.keep], versions[-self.keep :]
+        if not old:
+            return
+        named = {s["name"] for v in new for s in self.manifest(v)["shards"]}
+        for v in old:
+            gone = {s["name"] for s in self.manifest(v)["shards"]} - named
+            self.fs.delete(self._path(f"manifests/v{v:08d}.json"), False)
+            for n in sorted(gone):
+                self.fs.delete(self._path(n), False)
+
     def tier(self, size: int) -> int:
         return max(0, int(math.log(max(1.0, size / self.smallest), self.fan_in)))
 
@@ -87,8 +114,9 @@ class Store:
         if arrivals > 1:
             # a row's arrival hangs on its contents alone, so a task that runs again writes the same shards
             key = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(arrivals))
-            rows.withColumn("__arrival", key).write.partitionBy("__arrival").parquet(f"{self.root}/{name}")
-            folders = [f"{name}/__arrival={k}" for k in range(arrivals)]
+            (arrival,) = fresh(rows, "arrival")
+            rows.withColumn(arrival, key).write.partitionBy(arrival).parquet(f"{self.root}/{name}")
+            folders = [f"{name}/{arrival}={k}" for k in range(arrivals)]
         else:
             rows.write.parquet(f"{self.root}/{name}")
             folders = [name]
@@ -121,11 +149,6 @@ class Store:
             for s in merged:  # so that a merge always leads upwards
                 s["tier"] = max(s["tier"], min(full) + 1)
             state = self._commit(state, [s for s in state["shards"] if s["name"] not in gone] + merged, state["schema"])
-            self._forget(gone)
-
-    def _forget(self, names: set[str]) -> None:
-        for n in names:
-            self.fs.delete(self._path(n), False)
 
     def _read(self, shards: list[dict], state: dict) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -136,6 +159,8 @@ class Store:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s['name']}" for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
+        if version is not None and version not in self.versions():
+            raise ValueError(f"version {version} isn't there, or not any more")
         state = self.manifest(version)
         if state["schema"] is None:
             raise ValueError("the store is empty")

@@ -11,7 +11,7 @@ Learning uses a bounded sample (``SAMPLE``) of the labelled rows that are not he
 the id; scoring reads every whole text. The id, source, language and label are never inputs of a score.
 
 Defined results: null text is scored as empty text; without labelled rows of both classes every score is 0.0; repeated rows
-are scored alike; labels that are null are not learned from.
+are scored alike; labels that are null, and ids labelled with both classes, are not learned from.
 """
 
 from __future__ import annotations
@@ -27,11 +27,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labels, slices, utf8
+from .common import documents, held_out, labels, sampled, slices, utf8
 
-#: Most sampled rows of each class, and the most bytes of a sampled text.
+#: Most sampled rows of each class.
 SAMPLE = {1: 2500, 0: 5000}
-SAMPLE_BYTES = 1 << 16
 #: Words of a window.
 WINDOW = 4
 #: Standard errors and the ratio of shares that make a beginning typical; entries of a dictionary.
@@ -131,14 +130,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarr
 def learn(docs: DataFrame, marks: DataFrame) -> dict | None:
     """The model from labelled rows that are not held out; None without rows of both classes."""
     spark = docs.sparkSession
-    known = marks.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic").distinct()
+    known = marks.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     share = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    chosen = [r for c, n in SAMPLE.items() for r in known.where(F.col("toxic") == c).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n).collect()]
+    chosen = [r for c, n in SAMPLE.items() for r in sampled(known.where(F.col("toxic") == c), n)]
     if len({r.toxic for r in chosen}) < 2:
         return None
     # at most the sample's rows, so it may be broadcast
     picked = F.broadcast(spark.createDataFrame(chosen, known.schema))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").where(F.col("text").isNotNull()).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     sample = sorted((zlib.crc32(b"order" + str(r.doc_id).encode()), r.toxic, r.text.encode()) for r in rows)
     # two thirds make the dictionaries, the last third calibrates
     made = {c: _without_copies([t for h, k, t in sample if k == c and h % 3]) for c in (0, 1)}
