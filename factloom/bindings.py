@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import classify, ident, paths
 from .functions import strings as S
-from .operators import census, dispatch, links, satisfaction
+from .operators import census, dispatch, externals, flow, links, routes, satisfaction, signatures
 from .plans import fixpoint
 
 QUERIES: dict = {}
@@ -47,7 +47,7 @@ _SITES = """SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS t, count(D
 
 def _sites_sql(cap: int) -> str:
     return f"""SELECT l_orderkey, CASE WHEN n <= {cap} THEN array_to_string(t, ',') ELSE '' END AS targets, least(n, {cap + 1})::INT AS n_targets,
-      n > {cap} AS capped, n > {cap} AS opaque, CASE WHEN n BETWEEN 2 AND {cap} THEN round(1.0::DOUBLE / n, 4) ELSE 1.0::DOUBLE END AS confidence FROM ({_SITES})"""
+      n > {cap} AS capped, n > {cap} AS opaque, CASE WHEN n BETWEEN 2 AND {cap} THEN 1.0::DOUBLE / n ELSE 1.0::DOUBLE END AS confidence FROM ({_SITES})"""
 
 
 @query(_sites_sql(10))
@@ -546,7 +546,7 @@ def contracts_dump(spark, d):
 # ---- recursion ----
 
 _STEPS = "SELECT DISTINCT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events QUALIFY dst IS NOT NULL"
-_FIRST = "SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 3"
+_ALL = "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL"
 
 
 def _steps(spark, d) -> DataFrame:
@@ -556,22 +556,13 @@ def _steps(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("src"), nxt.alias("dst"), "event_id", "event_type").where("dst IS NOT NULL")
 
 
-def _first_users(spark, d) -> DataFrame:
-    return table(spark, d, "events").select("user_id").distinct().orderBy("user_id").limit(3).select(F.col("user_id").alias("source"), F.col("user_id").alias("node"))
-
-
-@query(f"WITH RECURSIVE e AS ({_STEPS}), r AS (SELECT user_id AS source, user_id AS node FROM ({_FIRST}) UNION SELECT r.source, e.dst FROM r JOIN e ON r.node = e.src) SELECT source, node FROM r")
-def reach(spark, d):
-    return fixpoint.reachable(_steps(spark, d), _first_users(spark, d))
-
-
 def _all_users(spark, d) -> DataFrame:
     return table(spark, d, "events").select("user_id").where("user_id IS NOT NULL").distinct().select(F.col("user_id").alias("source"), F.col("user_id").alias("node"))
 
 
-@query()
-def reach_all(spark, d):
-    """``reach`` from every user."""
+@query(f"WITH RECURSIVE e AS ({_STEPS}), r AS (SELECT user_id AS source, user_id AS node FROM ({_ALL}) UNION SELECT r.source, e.dst FROM r JOIN e ON r.node = e.src) SELECT source, node FROM r")
+def reach(spark, d):
+    """From every user."""
     return fixpoint.reachable(_steps(spark, d), _all_users(spark, d))
 
 
@@ -591,34 +582,25 @@ _LABELLED = f"""SELECT DISTINCT src, dst, CASE event_type WHEN 'click' THEN 'pro
 
 
 @query(
-    f"""WITH RECURSIVE e AS ({_LABELLED}), r AS (SELECT user_id AS source, user_id AS node, []::INT[] AS path FROM ({_FIRST})
+    f"""WITH RECURSIVE e AS ({_LABELLED}), r AS (SELECT user_id AS source, user_id AS node, []::INT[] AS path FROM ({_ALL})
     UNION SELECT r.source, e.dst, CASE e.op WHEN 'inject' THEN list_prepend(e.field, r.path)[1:2] WHEN 'proj' THEN r.path[2:] ELSE r.path END FROM r JOIN e ON r.node = e.src
       WHERE e.op <> 'proj' OR (len(r.path) > 0 AND r.path[1] = e.field)) SELECT source, node, array_to_string(path, '.') AS path FROM r"""
 )
 def reach_k2(spark, d):
-    return _field_paths(spark, d, _first_users(spark, d))
-
-
-def _field_paths(spark, d, users, with_alias=True) -> DataFrame:
+    """From every user; the states alone, as no column tells the alias bit."""
     op = F.when(F.col("event_type") == "click", "proj").when(F.col("event_type") == "view", "inject").otherwise("plain")
     e = _steps(spark, d).select("src", "dst", op.alias("op"), (F.col("src") % 3).cast("int").alias("field"), (F.col("event_type") == "purchase").alias("alias"), "event_id")
     edges = e.groupBy("src", "dst", "op", "field").agg(F.min_by("alias", "event_id").alias("alias"), F.min("event_id").alias("ord"))
-    states = fixpoint.reach_paths(edges, users.withColumn("depth", F.lit(0)), with_alias=with_alias)
+    states = fixpoint.reach_paths(edges, _all_users(spark, d).withColumn("depth", F.lit(0)), with_alias=False)
     return states.select("source", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
 
 
-@query()
-def reach_k2_all(spark, d):
-    """``reach_k2`` from every user; the states alone, as no column tells the alias bit."""
-    return _field_paths(spark, d, _all_users(spark, d), with_alias=False)
-
-
 @query()
 def prefix_fixpoint(spark, d):
     """Prefixes along the trie of URL segments: a host seeds the empty prefix, each path its segments."""
     seg = F.split(F.regexp_replace("url", "^https?://", ""), "/")
     p = table(spark, d, "pages").select(seg.alias("s"))
-    e = p.select(F.posexplode(F.slice("s", 2, 100)).alias("i", "part"), "s").where("part <> ''").select(F.array_join(F.slice("s", F.lit(1), F.col("i") + 1), "/").alias("src"), F.array_join(F.slice("s", F.lit(1), F.col("i") + 2), "/").alias("dst"), F.concat(F.lit("/"), "part").alias("append"), F.lit(False).alias("slash")).distinct()
+    e = p.select(F.posexplode(F.slice("s", F.lit(2), F.size("s"))).alias("i", "part"), "s").where("part <> ''").select(F.array_join(F.slice("s", F.lit(1), F.col("i") + 1), "/").alias("src"), F.array_join(F.slice("s", F.lit(1), F.col("i") + 2), "/").alias("dst"), F.concat(F.lit("/"), "part").alias("append"), F.lit(False).alias("slash")).distinct()
     seeds = p.select(F.element_at("s", 1).alias("node")).distinct().select("node", F.lit(0).alias("obj"), F.lit("").alias("prefix"))
     return fixpoint.prefixes(e, seeds)[0].drop("obj")
 
@@ -643,3 +625,201 @@ def string_eval(spark, d):
     nodes = p.select("p_partkey", F.inline(F.array(node("a", "const", F.lit("/api/")), node("b", "const", F.col("p_brand")), node("c", "concat", F.lit(None).cast("string"), F.array(v("a"), v("b"))), node("p", "param", F.lit(None).cast("string")), node("r", "join", F.lit(None).cast("string"), F.array(v("c"), v("p"))))))
     done = fixpoint.evaluate_strings(nodes.select("value", "op", "text", "args"))
     return done.where(F.col("value").endswith("r")).select(F.regexp_replace("value", "r$", "").cast("long").alias("p_partkey"), S.template(F.col("str")).alias("template"))
+
+
+# ---- what a program declares and calls ----
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS fn FROM customer WHERE c_acctbal > 0 UNION SELECT s_suppkey::VARCHAR FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customer ON c_custkey = s_suppkey
+    WHERE n_nationkey % 3 > 0 AND n_regionkey <> 2 AND c_mktsegment <> 'BUILDING'"""
+)
+def declared_methods(spark, d):
+    """Customers are functions, those with money collected; suppliers' keys are methods of the nation that is their type."""
+    c, s, n = (table(spark, d, t) for t in ("customer", "supplier", "nation"))
+    key = lambda x: F.col(x).cast("string").alias("fn")
+    types = n.select(F.col("n_nationkey").alias("type_key"), F.when(F.col("n_nationkey") % 3 == 0, "other").alias("alias_of"), F.when(F.col("n_regionkey") == 2, 1).otherwise(0).alias("n_type_params"))
+    methods = s.select(F.col("s_nationkey").alias("type_key"), F.col("s_suppkey").cast("string").alias("decl_fn"))
+    return externals.with_declared_methods(c.where("c_acctbal > 0").select(key("c_custkey")), types, methods, c.where("c_mktsegment <> 'BUILDING'").select(key("c_custkey")))
+
+
+@query("SELECT o_orderkey AS fn FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0 AND o_orderpriority <> '1-URGENT' AND o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AND o_orderstatus <> 'P'")
+def external_functions(spark, d):
+    o = table(spark, d, "orders")
+    fns = o.select(F.col("o_orderkey").alias("fn"), F.col("o_custkey").alias("pkg_path"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("f")).alias("parent_fn"), F.when(F.col("o_orderpriority") == "1-URGENT", "wrapper").alias("synthetic"), F.when(F.col("o_orderkey") % 7 == 0, F.array(F.lit("T"))).alias("type_args"), F.col("o_orderstatus").alias("file"))
+    dependencies = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("pkg_path"))
+    return externals.external_functions(fns, dependencies, o.where("o_orderstatus = 'P'").select(F.col("o_orderstatus").alias("file"))).select("fn")
+
+
+@query(
+    """SELECT DISTINCT l_orderkey * 10 + l_linenumber AS fn, p_partkey AS declared FROM lineitem JOIN part ON l_partkey = p_partkey
+    WHERE l_returnflag <> 'N' AND l_linenumber % 4 = p_size % 4 AND (l_linestatus = 'F') = (p_size > 25)"""
+)
+def wrapped_methods(spark, d):
+    """Lines are wrappers of their part's method if both take the same parameters."""
+    line, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    take = lambda n: F.array_repeat(F.lit("int"), (n % 4).cast("int"))
+    targets = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fn"), F.col("l_partkey").alias("object"), take(F.col("l_linenumber")).alias("params"), (F.col("l_linestatus") == "F").alias("variadic"), F.lit("wrapper").alias("synthetic"), F.when(F.col("l_returnflag") == "N", F.array(F.lit("T"))).alias("type_args"))
+    return externals.declared_targets(targets, p.select(F.col("p_partkey").alias("fn"), F.col("p_partkey").alias("object"), take(F.col("p_size")).alias("params"), (F.col("p_size") > 25).alias("variadic")))
+
+
+@query(
+    f"""SELECT l_orderkey, array_to_string(t, ',') || CASE WHEN e > 0 THEN ',0' ELSE '' END AS targets, CASE WHEN e > 0 THEN 1.0::DOUBLE / (n + 1) WHEN n > 1 THEN 1.0::DOUBLE / n ELSE 1.0::DOUBLE END AS confidence
+    FROM ({_SITES}) JOIN (SELECT l_orderkey, count(*) FILTER (WHERE s_acctbal < 0) AS e FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) USING (l_orderkey) WHERE n <= 10"""
+)
+def default_leaf(spark, d):
+    """Suppliers in debt are external targets."""
+    line = table(spark, d, "lineitem").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal"), "l_suppkey")
+    outside = line.groupBy("l_orderkey").agg(F.count_if(F.col("s_acctbal") < 0).alias("n_external"))
+    sites = _sites(spark, d).where("NOT capped").join(outside, "l_orderkey").withColumn("placeholder", F.lit(0).cast("long"))
+    return externals.with_default_leaf(sites).select("l_orderkey", _text("targets").alias("targets"), "confidence")
+
+
+@query(
+    """WITH RECURSIVE up AS (SELECT p_partkey AS fn, (p_partkey // 3) AS parent FROM part), r AS (SELECT fn FROM (SELECT p_partkey AS fn FROM part WHERE p_size = 7 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
+    UNION SELECT up.fn FROM r JOIN up ON up.parent = r.fn) SELECT fn FROM r UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"""
+)
+def function_universe(spark, d):
+    """Parts are nested in the part of a third of their number."""
+    p = table(spark, d, "part")
+    fns = p.select(F.col("p_partkey").alias("fn"), F.floor(F.col("p_partkey") / 3).cast("long").alias("parent_fn"))
+    before = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("fn"))
+    return externals.function_universe(before, p.where("p_size = 7").select(F.col("p_partkey").alias("fn")), table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("decl_fn")), fns)
+
+
+_MODE = "['AIR', 'RAIL', 'SHIP', 'MAIL'][l_suppkey % 4 + 1]"
+
+
+def _mode() -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in ("AIR", "RAIL", "SHIP", "MAIL")]), (F.col("l_suppkey") % 4 + 1).cast("int"))
+
+
+_PARAMS = f"SELECT l_orderkey AS fn, l_linenumber AS idx, CASE {_MODE} WHEN 'AIR' THEN '*net/http.Request' WHEN 'RAIL' THEN '*a.b/pb.Message' WHEN 'SHIP' THEN '[]byte' ELSE 'int' END AS type FROM lineitem"
+
+
+def _params(spark, d) -> DataFrame:
+    mode = _mode()
+    kind = F.when(mode == "AIR", "*net/http.Request").when(mode == "RAIL", "*a.b/pb.Message").when(mode == "SHIP", "[]byte").otherwise("int")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").cast("int").alias("idx"), kind.alias("type"))
+
+
+@query(f"SELECT fn, array_to_string(list_sort(list(DISTINCT idx)), ',') AS params FROM ({_PARAMS}) WHERE type = '*net/http.Request' GROUP BY fn")
+def http_request_params(spark, d):
+    from . import rules
+
+    return signatures.http_request_params(_params(spark, d), rules.request_types(spark)).withColumn("params", _text("params"))
+
+
+@query(f"SELECT fn, array_to_string(list_sort(list(DISTINCT idx)), ',') AS params FROM ({_PARAMS}) WHERE type = '*a.b/pb.Message' GROUP BY fn")
+def request_message_params(spark, d):
+    types = spark.createDataFrame([("a.b/pb", "Message", "struct"), ("a.b/pb", "Other", "interface"), ("a.b/x", "Message", "struct")], "pkg_path string, name string, kind string")
+    return signatures.request_message_params(_params(spark, d), types).withColumn("params", _text("params"))
+
+
+@query(
+    f"""SELECT o_orderkey AS fn, CASE WHEN o_orderstatus = 'O' THEN 'recv *T false;' ELSE '' END || coalesce(p, '') AS params, o_orderstatus = 'O' AS has_receiver
+    FROM orders LEFT JOIN (SELECT fn, string_agg('p' || idx || ' ' || type || ' ' || (starts_with(type, '*') OR starts_with(type, '[]') OR starts_with(type, 'map[')), ';' ORDER BY idx, type) AS p FROM ({_PARAMS}) GROUP BY fn) ON fn = o_orderkey"""
+)
+def function_signatures(spark, d):
+    fns = table(spark, d, "orders").select(F.col("o_orderkey").alias("fn"), F.when(F.col("o_orderstatus") == "O", "*T").alias("recv_type"), F.lit(False).alias("variadic"))
+    named = _params(spark, d).withColumn("name", F.concat(F.lit("p"), F.col("idx").cast("string")))
+    shown = signatures.signatures(fns, named, named.limit(0).select("fn", "idx", "type"))
+    text = F.array_join(F.transform("params", lambda p: F.concat_ws(" ", p["name"], p["type"], p["by_ref"].cast("string"))), ";")
+    # a receiver without parameters has no separator behind it in an array_join
+    return shown.select("fn", F.when(F.col("has_receiver") & (F.size("params") == 1), F.concat(text, F.lit(";"))).otherwise(text).alias("params"), "has_receiver")
+
+
+@query(
+    f"""WITH i AS (SELECT l_orderkey, l_linenumber, {_MODE} AS l_shipmode, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey % 3, l_linenumber, l_suppkey, l_orderkey) AS r, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')
+    SELECT o_custkey AS dispatcher, l_shipmode AS method, CASE WHEN l_linenumber % 2 = 0 THEN 'a,b' ELSE '' END AS args FROM i WHERE r = 1"""
+)
+def resolver_calls(spark, d):
+    """Customers dispatch over their orders; lines that came back are invokes, even ones with two named arguments."""
+    o = table(spark, d, "orders")
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").cast("int").alias("block"), F.col("l_suppkey").alias("ord"), _mode().alias("method"), "l_returnflag")
+    args = line.where("block % 2 = 0").select("fn", "block", "ord").distinct().select("fn", "block", "ord", F.inline(F.array(F.struct(F.lit(1).alias("idx"), F.lit("a").alias("key")), F.struct(F.lit(2).alias("idx"), F.lit("b").alias("key")))))
+    found = routes.resolver_calls(o.select(F.col("o_custkey").alias("dispatcher"), F.col("o_orderkey").alias("fn"), (F.col("o_orderkey") % 3).alias("level")), line.where("l_returnflag = 'R'"), args)
+    return found.withColumn("args", signatures.arg_names(F.col("args")))
+
+
+@query("SELECT l_orderkey AS fn, l_suppkey AS src, l_partkey AS dst, l_returnflag = 'R' AS via_alias, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_partkey, l_returnflag = 'R') - 1 AS position FROM lineitem")
+def ordered_edges(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fn"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_returnflag") == "R").alias("via_alias"))
+    return flow.ordered_edges(e).withColumn("position", F.col("position").cast("long"))
+
+
+@query(
+    f"""SELECT o_orderkey AS reg, CASE WHEN o_orderkey % 4 = 0 THEN 'GET' WHEN o_orderkey % 4 = 1 THEN CASE WHEN o_orderstatus = 'P' THEN '*' ELSE upper(o_orderpriority) END
+      WHEN o_orderkey % 4 = 2 THEN coalesce(t, '*') ELSE coalesce(chained, '*') END AS methods
+    FROM orders LEFT JOIN (SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT m)), ',') AS t, array_to_string(list_sort(list(DISTINCT m) FILTER (WHERE r <= 8)), ',') AS chained
+      FROM (SELECT l_orderkey, {_MODE} AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS r FROM lineitem) GROUP BY 1) ON l_orderkey = o_orderkey"""
+)
+def route_methods(spark, d):
+    """Orders register routes: by a fixed method, a constant, a list of constants, or by the lines chained with them."""
+    o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
+    kind, key = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    texts = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set(_mode())).alias("texts"))
+    regs = o.join(texts, "o_orderkey", "left").select(
+        F.col("o_orderkey").alias("reg"), F.when(kind == 0, "GET").otherwise("").alias("method"), (kind == 3).alias("route_chain"), F.lit(2).alias("n_args"), F.when(kind == 1, 0).otherwise(-1).alias("method_arg"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("method_text"), F.when(kind == 2, 1).otherwise(-1).alias("methods_arg"), F.col("texts").alias("methods_texts"), F.concat(F.lit("v"), key).alias("value"), F.lit(None).cast("string").alias("recv"),
+    )
+    # an order's lines are called one on the other
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey"))
+    called = line.select("l_orderkey", _mode().alias("mode"), place.alias("r"))
+    at = lambda r: F.when(r == 0, F.concat(F.lit("v"), F.col("l_orderkey").cast("string"))).otherwise(F.concat_ws("/", F.lit("c"), F.col("l_orderkey").cast("string"), r.cast("string")))
+    calls = called.select(at(F.col("r")).alias("value"), at(F.col("r") - 1).alias("recv"), F.lit(True).alias("links"), F.array("mode").alias("texts"))
+    return routes.route_methods(regs, routes.chained_methods(regs.where("route_chain").select("reg", "value", "recv"), calls)).select("reg", _text("methods").alias("methods"))
+
+
+@query(
+    """SELECT l_orderkey AS fn, l_partkey AS ord, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 + o_custkey % 5)::INT AS id, (l_partkey % 4 + 1)::INT AS argc
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'A') JOIN orders ON l_orderkey = o_orderkey"""
+)
+def closure_sites(spark, d):
+    """Returned lines make closures of their parts, each with one captured value."""
+    line = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("block"), F.col("l_partkey").alias("ord"), F.col("l_partkey").alias("callee"), F.col("l_partkey").cast("string").alias("value")).distinct()
+    bindings = line.select("fn", "block", "ord", F.lit(0).alias("idx"), "value", F.lit("int").alias("type"))
+    n_params = table(spark, d, "part").select(F.col("p_partkey").alias("fn"), (F.col("p_partkey") % 4).cast("int").alias("n"))
+    n_calls = table(spark, d, "orders").select(F.col("o_orderkey").alias("fn"), (F.col("o_custkey") % 5).cast("int").alias("n"))
+    return flow.closure_sites(line.drop("value"), bindings, n_params, n_calls)[0].select("fn", "ord", "id", F.col("argc").cast("int").alias("argc"))
+
+
+@query(
+    """SELECT DISTINCT user_id AS fn, CASE WHEN event_type = 'click' THEN 'OUT_FIELD' ELSE 'IN_GLOBAL' END AS kind, 'msg:kafka:' || event_type AS sym_name, CASE WHEN user_id % 2 = 0 THEN 'm' || event_id || '.Value' ELSE 'm' || event_id END AS value FROM events"""
+)
+def topic_cell_vertices(spark, d):
+    from . import rules
+
+    e = table(spark, d, "events")
+    known = F.col("user_id") % 2 == 0
+    m = e.select(F.col("user_id").alias("fn"), F.when(F.col("event_type") == "click", "produce").otherwise("consume").alias("role"), F.array("event_type", "event_type").alias("topics"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message"), F.when(known, "github.com/segmentio/kafka-go").alias("type_pkg"), F.when(known, "Message").alias("type_name"))
+    return flow.topic_cells(m, rules.payload_fields(spark)).drop("sym")
+
+
+@query(
+    """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN '*' || p_brand WHEN 1 THEN 'map[string][]' || p_brand WHEN 2 THEN 'func(' || p_brand || ', ...int) error' WHEN 3 THEN p_brand || '[any]'
+      WHEN 4 THEN 'struct{a ' || p_brand || '; b any}' ELSE 'interface{A(int); B(' || p_brand || ') error}' END AS text FROM part"""
+)
+def canonical_types(spark, d):
+    """Each part is a type made of its brand, which it names by an alias."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", (F.col("p_size") % 6).alias("k"))
+    none = F.array().cast("array<string>")
+    node = lambda key, kind, name, size, children, labels=none: F.struct(key.alias("type_key"), F.lit(kind).alias("kind"), name.cast("string").alias("name"), F.lit(size).cast("int").alias("size"), children.alias("children"), labels.alias("labels"))
+    key = F.concat(F.lit("t"), F.col("p_partkey").cast("string"))
+    own, sub = F.concat(key, F.lit("a")), F.concat(key, F.lit("b"))
+    null, err, num, text, empty = F.lit(None), F.lit("error"), F.lit("int"), F.lit("string"), F.lit("empty")
+    alias = node(own, "alias", F.lit("Local"), None, F.array(F.col("p_brand")))
+    made = (
+        F.when(F.col("k") == 0, F.array(alias, node(key, "pointer", null, None, F.array(own))))
+        .when(F.col("k") == 1, F.array(alias, node(sub, "slice", null, None, F.array(own)), node(key, "map", null, None, F.array(text, sub))))
+        .when(F.col("k") == 2, F.array(alias, node(sub, "slice", null, None, F.array(num)), node(key, "func", F.lit("variadic"), 2, F.array(own, sub, err))))
+        .when(F.col("k") == 3, F.array(alias, node(key, "named", F.col("p_brand"), None, F.array(empty))))
+        .when(F.col("k") == 4, F.array(alias, node(key, "struct", null, None, F.array(own, empty), F.array(F.lit("a"), F.lit("b")))))
+        .otherwise(F.array(alias, node(sub, "func", null, 1, F.array(own, err)), node(F.concat(key, F.lit("c")), "func", null, 1, F.array(num)), node(key, "interface", null, None, F.array(sub, F.concat(key, F.lit("c"))), F.array(F.lit("B"), F.lit("A")))))
+    )
+    fixed = spark.createDataFrame([("int", "basic", "int"), ("string", "basic", "string"), ("error", "named", "error"), ("empty", "interface", None)], "type_key string, kind string, name string")
+    fixed = fixed.unionByName(p.select(F.col("p_brand").alias("type_key"), F.lit("named").alias("kind"), F.col("p_brand").alias("name")).distinct()).select("type_key", "kind", "name", F.lit(None).cast("int").alias("size"), none.alias("children"), none.alias("labels"))
+    done = signatures.canonical_types(p.select(F.inline(made)).unionByName(fixed))
+    return done.where(F.col("type_key").rlike("^t[0-9]+$")).select(F.substring("type_key", 2, 20).cast("long").alias("p_partkey"), "text")

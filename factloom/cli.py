@@ -9,11 +9,12 @@ import argparse
 import sys
 from dataclasses import fields
 
-from .options import Options, UsageError, exit_code
+from .options import Options, UsageError, exit_code, version
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="factloom")
+    top.add_argument("--version", action="version", version=version())
     commands = top.add_subparsers(dest="command", required=True)
     build = commands.add_parser("build")
     build.add_argument("folder")

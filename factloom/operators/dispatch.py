@@ -12,7 +12,7 @@ CAP = 10
 
 def confidence(n: Column, cap: int = CAP) -> Column:
     """1 for no or one target, 1/n up to the cap, 1 beyond it, where no target is named."""
-    return F.when((n >= 2) & (n <= cap), F.round(F.lit(1.0) / n, 4)).otherwise(F.lit(1.0))
+    return F.when((n >= 2) & (n <= cap), F.lit(1.0) / n).otherwise(F.lit(1.0))
 
 
 def targets_at(edges: DataFrame, site: list[str], target: str, cap: int = CAP) -> DataFrame:

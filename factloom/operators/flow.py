@@ -114,7 +114,7 @@ def call_sites(calls: DataFrame, functions: DataFrame, targets: DataFrame, types
     An interface call is VIRTUAL even under go and defer. Without targets it is not opaque unless capped; a call of a function
     value without targets is. Streams and remote clients are recognised by their types' names.
     """
-    numbered = calls.withColumn("id", F.row_number().over(Window.partitionBy("fn").orderBy("block", "ord")) - 1)
+    numbered = emitted_calls(calls, options).withColumn("id", F.row_number().over(Window.partitionBy("fn").orderBy("block", "ord")) - 1)
     t = targets.select("fn", "block", "ord", "targets", "capped", F.col("confidence").alias("__c"))
     j = numbered.join(t, ["fn", "block", "ord"], "left").join(functions.select(F.col("fn").alias("static_callee"), F.col("fqn").alias("static_fqn"), "recv_type"), "static_callee", "left")
     segs = classify.segments(options.pb_paths)
@@ -134,6 +134,60 @@ def call_sites(calls: DataFrame, functions: DataFrame, targets: DataFrame, types
     )
 
 
+def emitted_calls(calls: DataFrame, options: Options = Options()) -> DataFrame:
+    """The calls that become call sites: with heap slots a copy of two arguments (func_value copy, n_args) is an edge instead, and has no number."""
+    if not options.heap_slots:
+        return calls
+    copy = F.col("is_builtin") & (F.col("func_value") == "copy") & (F.col("n_args") == 2) & ~F.col("is_invoke")
+    return calls.where(~F.coalesce(copy, F.lit(False)))
+
+
+def closure_sites(closures: DataFrame, bindings: DataFrame, n_params: DataFrame, n_calls: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """(sites, ports): a site for each closure made, after all calls of its function, whose arguments are the captured values.
+
+    ``closures`` has fn, block, ord, callee; ``bindings`` fn, block, ord, idx, value, type; ``n_params`` (fn, n) counts a closure's parameters without
+    a receiver, after which captured values are numbered; ``n_calls`` (fn, n) counts a function's calls. Results are delivered where the
+    closure is called, so these sites have none.
+    """
+    keys = ["fn", "block", "ord"]
+    bound = bindings.groupBy(*keys).agg(F.count("*").cast("int").alias("__n"))
+    c = closures.where(F.lit(options.closure_flow)).join(bound, keys)
+    c = c.join(n_params.select(F.col("fn").alias("callee"), F.col("n").alias("__base")), "callee", "left").join(n_calls.select("fn", F.col("n").alias("__calls")), "fn", "left")
+    base = F.coalesce("__base", F.lit(0))
+    number = F.row_number().over(Window.partitionBy("fn").orderBy("block", "ord")) - 1 + F.coalesce("__calls", F.lit(0))
+    made = c.select(*keys, number.cast("int").alias("id"), F.lit("STATIC").alias("kind"), F.col("callee").alias("callee_fqn"), (base + F.col("__n")).alias("argc"), F.lit(0).alias("resultc"), F.lit(1.0).alias("dispatch_confidence"), base.alias("__base"))
+    ports = made.join(bindings, keys).select("fn", F.lit("CALL_ARG_PORT").alias("kind"), (F.col("__base") + F.col("idx")).alias("index"), "value", "type", F.col("id").alias("callsite"))
+    return made.drop("__base"), ports
+
+
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    """Edges (fn, src, dst, via_alias) with ``position``, by which they are written: by source, target, and without alias first."""
+    return edges.withColumn("position", F.row_number().over(Window.partitionBy("fn").orderBy("src", "dst", "via_alias")) - 1)
+
+
+def received(values: DataFrame, instr: DataFrame, operand: DataFrame) -> DataFrame:
+    """(fn, value, message): the messages that a call's value (fn, value, is_tuple) delivers: its first part if it has several, else itself."""
+    parts = operands(instr.where("op = 'Extract' AND field_idx = 0"), operand).select("fn", F.col("arg").alias("value"), F.col("value").alias("part"))
+    first = values.where("is_tuple").join(parts, ["fn", "value"]).select("fn", "value", F.col("part").alias("message"))
+    return first.unionByName(values.where("NOT is_tuple").select("fn", "value", F.col("value").alias("message")))
+
+
+def topic_cells(messages: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Cell vertices of messages sent or received: fn, kind (OUT_FIELD written, IN_GLOBAL read), sym, sym_name, value.
+
+    ``messages`` has fn, role (produce or consume), topics (names), message and type_pkg, type_name of it; ``payloads`` (pkg, name, field) is a fixed
+    table. Of a known message type the payload field's values flow, else the message's own. A message of several topics is a cell of each.
+    """
+    from ..functions import paths
+
+    known = F.broadcast(payloads.select(F.col("pkg").alias("type_pkg"), F.col("name").alias("type_name"), F.col("field").alias("payload")))
+    m = messages.join(known, ["type_pkg", "type_name"], "left").withColumn("topic", F.explode(F.array_distinct("topics")))
+    name = paths.topic_name(F.col("topic"))
+    kind = F.when(F.col("role") == "produce", "OUT_FIELD").otherwise("IN_GLOBAL")
+    value = F.when(F.col("payload").isNotNull(), F.concat_ws(".", "message", "payload")).otherwise(F.col("message"))
+    return m.select("fn", kind.alias("kind"), ident.contract_iid(name, "kafka").alias("sym"), name.alias("sym_name"), value.alias("value")).distinct()
+
+
 def heap_cells(fields: DataFrame, types: DataFrame, options: Options = Options()) -> DataFrame:
     """Fields that are program-wide cells, with the identity by which writers and readers join."""
     k = types.select(F.col("type_key").alias("ftype"), F.col("kind").alias("__kind"))

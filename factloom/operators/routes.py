@@ -38,6 +38,79 @@ def routes(registrations: DataFrame, prefixes: DataFrame, mounted: DataFrame, ov
     return one.select("name", ident.contract_iid(F.col("name"), "http").alias("iid"), "method", "path", "display", "framework", "handler", (F.col("full_prefix").startswith("{}")).alias("suffix_only"))
 
 
+def handler_argument(registrations: DataFrame) -> DataFrame:
+    """Registrations (args array, elements array or null, handler_arg, last_handler) with ``handler``: that argument, or of several handlers,
+    which stand in a slice literal, the last. No literal, no handler."""
+    there = (F.col("handler_arg") >= 0) & (F.col("handler_arg") < F.size("args"))
+    last = F.when(F.size(F.coalesce("elements", F.array().cast("array<string>"))) > 0, F.element_at("elements", -1))
+    return registrations.withColumn("handler", F.when(there, F.when(F.col("last_handler"), last).otherwise(F.get("args", F.col("handler_arg")))))
+
+
+def route_methods(registrations: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """Registrations with ``methods``: the rule's own, a constant argument's, those of a list of constants, or of the calls it is chained with.
+
+    ``registrations`` has reg, method, route_chain, n_args, method_arg and method_text (its constant, null if none), methods_arg and
+    methods_texts (the elements' constants, null if the argument is no literal). What is not constant serves any method.
+    """
+    any_ = F.array(F.lit("*"))
+    texts = F.col("methods_texts")
+    all_known = texts.isNotNull() & (F.size(texts) > 0) & ~F.exists(texts, lambda x: x.isNull())
+    given = lambda arg: (F.col(arg) >= 0) & (F.col(arg) < F.col("n_args"))
+    found = chains if chains is not None else registrations.select("reg", F.array().cast("array<string>").alias("chained")).limit(0)
+    r = registrations.join(found.select("reg", "chained"), "reg", "left")
+    methods = (
+        F.when((F.col("method") != "") & (F.col("method") != "*") & ~F.col("route_chain"), F.array("method"))
+        .when(given("method_arg"), F.when(F.coalesce("method_text", F.lit("")) != "", F.array(F.upper("method_text"))).otherwise(any_))
+        .when(given("methods_arg"), F.when(all_known, F.transform(texts, F.upper)).otherwise(any_))
+        .when(F.col("route_chain") & (F.size(F.coalesce("chained", F.array().cast("array<string>"))) > 0), F.col("chained"))
+        .otherwise(any_)
+    )
+    return r.withColumn("methods", methods).drop("chained")
+
+
+def chained_methods(registrations: DataFrame, calls: DataFrame, depth: int = 8) -> DataFrame:
+    """(reg, chained): methods of the calls before and after a registration in its chain, at most ``depth`` steps each way.
+
+    ``registrations`` has reg, value (its result) and recv; ``calls`` value, recv, framework's own ``links`` (whether the chain goes on through
+    it) and ``texts`` (constant methods, null if none).
+    """
+    c = calls.select(F.col("value").alias("__v"), F.col("recv").alias("__r"), "links", F.coalesce("texts", F.array().cast("array<string>")).alias("texts"))
+    found = []
+    after, before = registrations.select("reg", F.col("value").alias("at")), registrations.select("reg", F.col("recv").alias("at"))
+    for _ in range(depth):
+        hit = after.where("at IS NOT NULL").join(c, F.col("at") == F.col("__r"))
+        found.append(hit.select("reg", "texts"))
+        after = hit.where("links").select("reg", F.col("__v").alias("at"))
+        back = before.where("at IS NOT NULL").join(c, F.col("at") == F.col("__v"))
+        found.append(back.select("reg", "texts"))
+        before = back.where("links").select("reg", F.col("__r").alias("at"))
+    all_ = found[0]
+    for more in found[1:]:
+        all_ = all_.unionByName(more)
+    return all_.select("reg", F.explode("texts").alias("m")).groupBy("reg").agg(F.array_sort(F.collect_set(F.upper("m"))).alias("chained"))
+
+
+def ordered_routes(found: DataFrame) -> DataFrame:
+    return found.orderBy("iid", "handler")
+
+
+def ordered_fields(found: DataFrame) -> DataFrame:
+    return found.orderBy("type_field", "resolver")
+
+
+def resolver_calls(dispatchers: DataFrame, invokes: DataFrame, args: DataFrame) -> DataFrame:
+    """(dispatcher, method, args): the first invoke on the resolver interface in a dispatcher or, if it has none, in the functions nested in it.
+
+    ``dispatchers`` has dispatcher, fn and level (its place in a walk of the nested functions, 0 for its own body); ``invokes`` fn, block, ord,
+    method; ``args`` fn, block, ord, idx and the constant key that the argument was looked up by.
+    """
+    first = F.min(F.struct("level", "block", "ord", "fn", "method")).alias("x")
+    one = dispatchers.join(invokes, "fn").groupBy("dispatcher").agg(first).select("dispatcher", "x.fn", "x.block", "x.ord", "x.method")
+    named = args.groupBy("fn", "block", "ord").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("param_idx"), F.col("key").alias("name")))).alias("args"))
+    empty = F.array().cast("array<struct<param_idx:int,name:string>>")
+    return one.join(named, ["fn", "block", "ord"], "left").select("dispatcher", "method", F.coalesce("args", empty).alias("args"))
+
+
 def client_sites(calls: DataFrame) -> DataFrame:
     """HTTP client sites of calls (site, url template, method or ''): canonical path and the synthetic callee's name."""
     path = paths.canon_path(paths.client_path(F.col("url")))

@@ -98,6 +98,17 @@ class Options:
         return h.hexdigest()
 
 
+#: The version of this library.
+VERSION = "0.2.0"
+
+
+def version(name: str = "factloom", runtime: str | None = None) -> str:
+    """``name version (runtime)``; the runtime is Spark's own unless one is given."""
+    import pyspark
+
+    return f"{name} {VERSION} (spark {runtime or pyspark.__version__})"
+
+
 _digest: list[str] = []
 
 

@@ -69,6 +69,20 @@ def guard(packages: DataFrame, requested: list[str], dropped: DataFrame | None =
         raise ProgramError(f"never built: {', '.join(lost[:3])}{' ...' if len(lost) > 3 else ''}")
 
 
+def toolchain_guard(errors: DataFrame) -> None:
+    """Raises if a package (pkg_path, message) needs a newer toolchain: every package fails then, and little would be extracted."""
+    skew = errors.where(F.col("message").contains("requires newer Go version")).orderBy("pkg_path", "message").limit(1).collect()
+    if skew:
+        raise ProgramError(f"toolchain skew: {skew[0]['pkg_path']}: {skew[0]['message']}")
+
+
+def stale_checkout(commits: DataFrame, head: str) -> str:
+    """A warning if the commit that was read isn't ``head``, a full id; empty otherwise or if none is known."""
+    row = commits.select("commit_sha").limit(1).collect()
+    now = row[0]["commit_sha"] if row else ""
+    return f"warning: the tables are of {now[:8]}, not of head {head[:8]}" if now and head and now != head else ""
+
+
 def has_grpc_server(types: DataFrame) -> bool:
     return not types.where(classify.grpc_server_type(F.col("name"))).isEmpty()
 

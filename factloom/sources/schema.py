@@ -84,6 +84,7 @@ def ddl(message: str) -> str:
 #: The tables that describe a built program.
 PROGRAM = {
     "pkg": "pkg_path string, name string, module_path string, in_scope boolean, n_errors int, has_ssa boolean",
+    "pkg_error": "pkg_path string, message string",
     "src_file": "pkg_path string, file string, header_comments array<string>, is_test boolean",
     "type": "type_key string, pkg_path string, name string, kind string, elem string, alias_of string, n_type_params int",
     "field": "type_key string, idx int, name string, ftype string, tag string, embedded boolean",

@@ -46,10 +46,15 @@ class SnapshotStore:
             meta = [(VERSION, commit, parent, self.options.dispatch, self.options.cap, fn_set_hash, shards)]
             spec = "version int, commit_sha string, parent_sha string, mode string, cap int, fn_set_hash string, shards array<struct<table: string, sha256: string>>"
             self.spark.createDataFrame(meta, spec).coalesce(1).write.parquet(f"{self.folder}/{draft}/meta")
-            final = self._path(commit[:12])
-            self._fs.delete(final, True)
+            final, aside = self._path(commit[:12]), self._path(f".tmp-old-{uuid.uuid4().hex}")
+            # an older one of the commit steps aside, and comes back if the new one can't be put in place
+            had = self._fs.exists(final) and self._fs.rename(final, aside)
             if not self._fs.rename(self._path(draft), final):
+                if had:
+                    self._fs.rename(aside, final)
                 raise RuntimeError(f"the snapshot of {commit} could not be put in place")
+            if had:
+                self._fs.delete(aside, True)
         finally:
             self._fs.delete(self._path(draft), True)
         self._keep_newest()
@@ -106,5 +111,18 @@ def replay_or_build(store: SnapshotStore | None, commit: str, dirty: bool, fn_se
     return tables, f"{why} - rebuilt"
 
 
+def package_shards(callers: DataFrame, types: DataFrame, ifaces: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pkg, callers, types, ifaces, pairs): what a snapshot stores for each package; every input has pkg besides its own columns."""
+
+    def gathered(df: DataFrame, name: str) -> DataFrame:
+        own = [F.col(c) for c in df.columns if c != "pkg"]
+        return df.groupBy("pkg").agg(F.array_sort(F.collect_list(F.struct(*own))).alias(name))
+
+    out = gathered(callers, "callers")
+    for df, name in ((types, "types"), (ifaces, "ifaces"), (pairs, "pairs")):
+        out = out.join(gathered(df, name), "pkg", "full")
+    return out
+
+
 def shard_name(package: str):
     return F.concat(sanitize(package), F.lit(".pb"))

@@ -23,10 +23,10 @@ def test_every_user_is_a_source(spark, events):
     folder, steps, users = events
     assert len(users) > 3
     want = {(s, v) for s in users for _, v, _ in fifo([(a, b, "plain", 0, False, 0) for a, b, *_ in steps], [(s, s, 0)])}
-    assert sorted(map(tuple, bindings.QUERIES["reach_all"](spark, folder).collect())) == sorted(want)
+    assert sorted(map(tuple, bindings.QUERIES["reach"](spark, folder).collect())) == sorted(want)
 
 
 def test_field_paths_of_every_user(spark, events):
     folder, steps, users = events
     want = {(s, v, ".".join(map(str, p))) for s, v, p in fifo(steps, [(u, u, 0) for u in users])}
-    assert sorted(map(tuple, bindings.QUERIES["reach_k2_all"](spark, folder).collect())) == sorted(want)
+    assert sorted(map(tuple, bindings.QUERIES["reach_k2"](spark, folder).collect())) == sorted(want)
