@@ -115,17 +115,16 @@ def site_census(spark, d):
 
 
 @query(
-    """SELECT l_orderkey, array_to_string(CASE WHEN len(u) <= 10 THEN list_sort(u) ELSE list_sort(own) END, ',') AS targets FROM (
+    """SELECT l_orderkey, array_to_string(CASE WHEN len(own) > 10 THEN [] WHEN len(u) <= 10 THEN list_sort(u) ELSE list_sort(own) END, ',') AS targets FROM (
       SELECT l_orderkey, coalesce(list(DISTINCT 's' || l_suppkey) FILTER (WHERE l_returnflag <> 'R'), []) AS own, list(DISTINCT 's' || l_suppkey) AS u
-      FROM lineitem GROUP BY l_orderkey) WHERE len(own) <= 10"""
+      FROM lineitem GROUP BY l_orderkey)"""
 )
 def external_targets(spark, d):
     line = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("t"), "l_returnflag")
     per = lambda x: x.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("t")).alias("targets"))
-    own = dispatch.targets_at(line.where("l_returnflag <> 'R'"), ["l_orderkey"], "t", 1 << 20)
-    own = own.where(F.size("targets") <= dispatch.CAP)
-    crowded = dispatch.targets_at(line.where("l_returnflag <> 'R'"), ["l_orderkey"], "t").where("capped").select("l_orderkey")
-    return dispatch.with_externals(own, per(line.where("l_returnflag = 'R'")).join(crowded, "l_orderkey", "left_anti"), ["l_orderkey"]).withColumn("targets", _text("targets"))
+    own = dispatch.targets_at(line.where("l_returnflag <> 'R'"), ["l_orderkey"], "t")
+    outside = per(line.where("l_returnflag = 'R'")).join(own.where("capped").select("l_orderkey"), "l_orderkey", "left_anti")
+    return dispatch.with_externals(own, outside, ["l_orderkey"]).withColumn("targets", _text("targets"))
 
 
 @query(
@@ -405,7 +404,7 @@ def top_unclassified(spark, d):
 # ---- satisfaction ----
 
 _METHODS = """SELECT o_custkey AS type_key, p_name AS method_id, p_brand AS sig, bool_or(l_returnflag = 'N') AS in_value_set FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
-_IFACES = "SELECT DISTINCT p_brand AS iface_key, p_name AS method_id, p_brand AS sig FROM part WHERE p_size = 1"
+_IFACES = "SELECT DISTINCT p_brand || '/' || p_size AS iface_key, p_name AS method_id, p_brand AS sig FROM part"
 _PAIRS = f"""SELECT type_key, iface_key, count(*) FILTER (WHERE in_value_set) < n AS pointer_only FROM ({_METHODS}) JOIN ({_IFACES}) USING (method_id, sig)
   JOIN (SELECT iface_key, count(*) AS n FROM ({_IFACES}) GROUP BY 1) USING (iface_key) GROUP BY type_key, iface_key, n HAVING count(*) = n"""
 
@@ -417,7 +416,8 @@ def _methods(spark, d) -> DataFrame:
 
 
 def _interfaces(spark, d) -> DataFrame:
-    return table(spark, d, "part").where("p_size = 1").select(F.col("p_brand").alias("iface_key"), F.col("p_name").alias("method_id"), F.col("p_brand").alias("sig")).distinct()
+    """A brand's parts of a size are the methods of an interface."""
+    return table(spark, d, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("iface_key"), F.col("p_name").alias("method_id"), F.col("p_brand").alias("sig")).distinct()
 
 
 @query(_PAIRS)
@@ -425,12 +425,18 @@ def satisfies(spark, d):
     return satisfaction.satisfies(_methods(spark, d), _interfaces(spark, d))
 
 
-@query(f"SELECT s.s_suppkey, p.type_key, m.method_id FROM (SELECT s_suppkey, 'Brand#' || (11 + s_suppkey % 5) AS iface_key FROM supplier) s JOIN ({_PAIRS}) p USING (iface_key) JOIN ({_METHODS}) m ON m.type_key = p.type_key AND m.sig = p.iface_key")
+@query(
+    f"""SELECT s_suppkey, i.iface_key, i.method_id, p.type_key, 'f' || p.type_key || '.' || m.method_id AS callee FROM (SELECT s_suppkey, 'Brand#' || (11 + s_suppkey % 5) || '/' || (1 + s_suppkey % 50) AS iface_key FROM supplier)
+    JOIN ({_IFACES}) i USING (iface_key) JOIN ({_PAIRS}) p USING (iface_key) JOIN ({_METHODS}) m ON m.type_key = p.type_key AND m.method_id = i.method_id"""
+)
 def class_hierarchy(spark, d):
-    pairs, methods = satisfaction.satisfies(_methods(spark, d), _interfaces(spark, d)), _methods(spark, d)
-    sites = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 5 + 11).cast("string")).alias("iface_key"))
-    named = methods.withColumn("decl_fn", F.col("method_id")).withColumnRenamed("sig", "iface_key")
-    return sites.join(pairs.select("type_key", "iface_key"), "iface_key").join(named.select("type_key", "iface_key", "method_id"), ["type_key", "iface_key"]).select("s_suppkey", "type_key", "method_id")
+    """Suppliers invoke every method of an interface."""
+    methods = _methods(spark, d)
+    pairs = satisfaction.satisfies(methods, _interfaces(spark, d))
+    own = F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 5 + 11).cast("string"), F.lit("/"), (F.col("s_suppkey") % 50 + 1).cast("string"))
+    calls = table(spark, d, "supplier").select("s_suppkey", own.alias("iface_key")).join(_interfaces(spark, d).select("iface_key", "method_id"), "iface_key")
+    decl = methods.select("type_key", "method_id", F.concat(F.lit("f"), F.col("type_key").cast("string"), F.lit("."), "method_id").alias("decl_fn"))
+    return satisfaction.class_hierarchy(calls, pairs, decl).select("s_suppkey", "iface_key", "method_id", "type_key", F.col("decl_fn").alias("callee"))
 
 
 @query(
@@ -595,7 +601,10 @@ def reach_k2(spark, d):
     return states.select("source", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT string_split(regexp_replace(url, '^https?://', ''), '/') AS s FROM pages), k AS (SELECT s, unnest(range(0, len(s))) AS k FROM p)
+    SELECT DISTINCT array_to_string(s[1:k+1], '/') AS node, CASE WHEN k = 0 THEN '' ELSE '/' || array_to_string(s[2:k+1], '/') END AS prefix, k::INT AS apps FROM k WHERE k <= 8 AND len(list_filter(s[2:k+1], lambda x: x = '')) = 0"""
+)
 def prefix_fixpoint(spark, d):
     """Prefixes along the trie of URL segments: a host seeds the empty prefix, each path its segments."""
     seg = F.split(F.regexp_replace("url", "^https?://", ""), "/")
@@ -605,7 +614,11 @@ def prefix_fixpoint(spark, d):
     return fixpoint.prefixes(e, seeds)[0].drop("obj")
 
 
-@query()
+@query(
+    """WITH m AS (SELECT 'r' || r_regionkey AS obj, '/' || r_name AS route FROM region UNION ALL SELECT 'n' || n_nationkey, '/' || r_name || '/n/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+      UNION SELECT c_mktsegment, '/' || r_name || '/n/' || n_name || '/' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT obj, route, '' AS stripped FROM (SELECT *, row_number() OVER (PARTITION BY obj ORDER BY route) AS r FROM m) WHERE r <= 8"""
+)
 def mounts(spark, d):
     """Nations mounted under regions, customers' segments under nations."""
     n = table(spark, d, "nation")
