@@ -117,12 +117,14 @@ def in_training_order(docs: DataFrame, **how) -> DataFrame:
     Rows that the mix can't tell apart (of one id, source and size) are numbered on both sides, so each takes the copies of one of them.
     """
     same = lambda size: F.to_json(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), size.alias("n")))
-    plan = mix(docs, **how).select(same(F.col("size")).alias("same"), "positions")
-    plan = plan.withColumn("number", F.row_number().over(Window.partitionBy("same").orderBy(F.desc(F.size("positions")), "positions")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), same(word_count(F.col("text"))).alias("same"), F.xxhash64("text").alias("hash"))
-    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("same").orderBy("hash")))
-    joined = rows.join(plan.where(F.size("positions") > 0), ["same", "number"])
-    return joined.select("row", F.explode("positions").alias("position")).orderBy("position", "row.doc_id").select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(same(word_count(F.col("text"))).alias("same"), F.xxhash64("text").alias("hash"), row.alias("row"), F.lit(None).cast("array<double>").alias("positions"))
+    plan = mix(docs, **how).select(same(F.col("size")).alias("same"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "positions")
+    # both sides in one exchange by what tells rows apart, so that texts are shuffled once before the sort
+    dealt = rows.unionByName(plan).repartition("same").withColumn("planned", F.col("positions").isNotNull())
+    order = Window.partitionBy("same", "planned").orderBy("hash", F.desc(F.size("positions")), "positions")
+    paired = dealt.withColumn("number", F.row_number().over(order)).groupBy("same", "number").agg(F.first("row", ignorenulls=True).alias("row"), F.first("positions", ignorenulls=True).alias("positions"))
+    return paired.where(F.size("positions") > 0).select("row", F.explode("positions").alias("position")).orderBy("position", "row.doc_id").select("row.*")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
