@@ -45,7 +45,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", to_tokens),
 ]
 
-#: No stage but the mixing can be said in SQL.
+#: The classifier's fit and the encoding can't be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -48,7 +48,9 @@ def run(argv: list[str], spark=None) -> None:
         tables = extract.extract(spark, args["folder"], options)
         extract.write(tables, options.out)
         remote = tables["callsite"].where("kind = 'INVOKES_REMOTE'").count()
-        if message := zero_boundary({"remote_sites": remote}, options.require_contracts):
+        found = {r["kind"].lower(): r["n"] for r in tables["contract"].groupBy("kind").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+        counts = {"remote_sites": remote, "grpc_methods": found.get("grpc", 0), "http_routes": found.get("http", 0), "http_calls": tables["http_call"].count()}
+        if message := zero_boundary(counts, options.require_contracts):
             print(message, file=sys.stderr)
         print(f"functions={tables['function'].count()} sites={tables['callsite'].count()} remote={remote}")
         return

@@ -74,18 +74,21 @@ def chained_methods(registrations: DataFrame, calls: DataFrame, depth: int = 8)
     ``registrations`` has reg, value (its result) and recv; ``calls`` value, recv, framework's own ``links`` (whether the chain goes on through
     it) and ``texts`` (constant methods, null if none).
     """
-    c = calls.select(F.col("value").alias("__v"), F.col("recv").alias("__r"), "links", F.coalesce("texts", F.array().cast("array<string>")).alias("texts"))
+    from ..plans.storage import written
+
+    c = written(calls.select(F.col("value").alias("__v"), F.col("recv").alias("__r"), "links", F.coalesce("texts", F.array().cast("array<string>")).alias("texts")))
     found = []
-    after, before = registrations.select("reg", F.col("value").alias("at")), registrations.select("reg", F.col("recv").alias("at"))
-    for _ in range(depth):
-        hit = after.where("at IS NOT NULL").join(c, F.col("at") == F.col("__r"))
-        found.append(hit.select("reg", "texts"))
-        after = hit.where("links").select("reg", F.col("__v").alias("at"))
-        back = before.where("at IS NOT NULL").join(c, F.col("at") == F.col("__v"))
-        found.append(back.select("reg", "texts"))
-        before = back.where("links").select("reg", F.col("__r").alias("at"))
-    all_ = found[0]
-    for more in found[1:]:
+    for at, seen, on in (("value", "__r", "__v"), ("recv", "__v", "__r")):
+        front = registrations.select("reg", F.col(at).alias("at"))
+        for _ in range(depth):
+            # a step is written, so the next one's plan holds no more than it
+            hit = written(front.where("at IS NOT NULL").join(c, F.col("at") == F.col(seen)).select("reg", "texts", "links", F.col(on).alias("at")))
+            if hit.isEmpty():
+                break
+            found.append(hit.select("reg", "texts"))
+            front = hit.where("links").select("reg", "at")
+    all_ = registrations.select("reg", F.array().cast("array<string>").alias("texts"))
+    for more in found:
         all_ = all_.unionByName(more)
     return all_.select("reg", F.explode("texts").alias("m")).groupBy("reg").agg(F.array_sort(F.collect_set(F.upper("m"))).alias("chained"))
 
@@ -178,11 +181,15 @@ def resolve_handlers(values: DataFrame, functions: DataFrame, depth: int = 6) ->
 
     Ops closure, bound, convert, middleware, factory and phi lead on to ``arg``; a value that leads to several functions has none.
     """
-    now = values.where("arg IS NOT NULL").select("value", "arg")
-    found = functions.select("value", "fn").distinct()
+    from ..plans.storage import written
+
+    now = values.where("arg IS NOT NULL").select("value", "arg").distinct()
+    found = front = written(functions.select("value", "fn").distinct())
     for _ in range(depth):
-        step = now.join(found.select(F.col("value").alias("arg"), "fn"), "arg").select("value", "fn")
-        found = found.unionByName(step).distinct()
+        front = written(now.join(front.select(F.col("value").alias("arg"), "fn"), "arg").select("value", "fn").distinct())
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
     one = found.groupBy("value").agg(F.min("fn").alias("lo"), F.max("fn").alias("hi"))
     return one.where("lo = hi").select("value", F.col("lo").alias("fn"))
 

@@ -12,7 +12,7 @@ from ..functions import classify, ident, paths
 from ..operators import dispatch, flow, satisfaction
 from ..options import Options, UsageError
 from ..sources import program
-from . import fixpoint
+from . import contracts, fixpoint
 from .storage import written
 
 
@@ -37,7 +37,7 @@ def call_edges(tables: dict[str, DataFrame], options: Options) -> DataFrame:
 #: Options that no step of an extraction reads; those with a default of True are named in README.
 UNREAD = (
     "base", "head", "verbose", "snapshot_store", "library_writeback", "heap_slots", "heap_slots_scope", "heap_iface_narrow", "heap_iface_identity", "heap_iface_drop", "error_results",
-    "error_results_strict", "canonical_instance_ids", "surface_reads", "http_routes", "http_calls", "topic_cells", "http_seed_request", "dep_impls", "dep_bodies", "dependency_sums",
+    "error_results_strict", "canonical_instance_ids", "surface_reads", "topic_cells", "http_seed_request", "dep_impls", "dep_bodies", "dependency_sums",
 )
 
 
@@ -49,9 +49,10 @@ def reject_unread(options: Options) -> None:
 
 
 def extract(spark: SparkSession, folder: str, options: Options = Options()) -> dict[str, DataFrame]:
-    """Tables function, callsite, vertex and edge of the program in ``folder``."""
+    """Tables function, callsite, vertex, edge, contract and http_call of the program in ``folder``."""
     reject_unread(options)
     tables = program.read(spark, folder)
+    program.toolchain_guard(tables["pkg_error"])
     mocks = program.mock_packages(tables["pkg"], tables["src_file"], classify.segments(options.mock_paths))
     packages = tables["pkg"] if options.include_mocks else tables["pkg"].join(mocks, "pkg_path", "left_anti")
     requested = [r for r in options.scope.split(",") if r]
@@ -66,6 +67,11 @@ def extract(spark: SparkSession, folder: str, options: Options = Options()) -> d
     targets = dispatch.targets_at(usable, ["fn", "block", "ord"], "callee", options.cap)
     own = lambda t: tables[t].join(fns.select("fn"), "fn", "left_semi")
     sites = written(flow.call_sites(own("call"), tables["func"], targets, tables["type"], options))
+    # closures are made after all calls of a function, so these keep their numbers
+    makes = own("instr").where("op = 'MakeClosure'").select("fn", "block", "ord", F.col("aux").alias("callee"))
+    bound = own("operand").join(makes, ["fn", "block", "ord"], "left_semi").select("fn", "block", "ord", F.col("pos").alias("idx"), "value", F.lit(None).cast("string").alias("type"))
+    n_params = tables["param"].groupBy("fn").agg(F.count("*").cast("int").alias("n"))
+    closures, captured = flow.closure_sites(makes, bound, n_params, sites.groupBy("fn").agg(F.count("*").alias("n")), options)
 
     modules = program.module_map(packages)
     owned = fns.join(modules, "pkg_path", "left")
@@ -79,7 +85,7 @@ def extract(spark: SparkSession, folder: str, options: Options = Options()) -> d
     outputs = flow.return_vertices(own("instr"), own("operand")).unionByName(flow.by_ref_outputs(own("param"), tables["type"], options))
     ports = flow.call_ports(sites, own("call"), own("instr"), own("operand"))
     here = inputs.unionByName(outputs).select("fn", "kind", "index", "value", "type").withColumn("callsite", F.lit(None).cast("int"))
-    vertices = written(here.unionByName(ports))
+    vertices = written(here.unionByName(ports).unionByName(captured))
     # values enter by parameters and results of calls, and leave by returns, by-ref slots and arguments of calls
     source = F.concat_ws("\u0001", "fn", "kind", F.col("index").cast("string"), F.coalesce(F.col("callsite").cast("string"), F.lit("")))
     sources = vertices.where(F.col("kind").startswith("IN_") | (F.col("kind") == "CALL_RESULT_PORT")).select(source.alias("source"), value("value").alias("node"), F.lit(0).alias("depth")).distinct()
@@ -88,12 +94,13 @@ def extract(spark: SparkSession, folder: str, options: Options = Options()) -> d
     part = F.split("source", "\u0001")
     index = part[2].cast("int")
     reached = states.join(sinks, "node").select("fn", F.when(part[1].startswith("IN_"), index).alias("from_param"), part[1].alias("from_kind"), index.alias("from_index"), F.when(part[3] != "", part[3].cast("int")).alias("from_callsite"), "to_kind", "to_index", "to_callsite", "path", "via_alias").distinct()
-    return {"function": functions, "callsite": sites, "vertex": vertices, "edge": reached}
+    sites = written(sites.unionByName(closures.withColumn("targets", F.array("callee_fqn")), allowMissingColumns=True))
+    return {"function": functions, "callsite": sites, "vertex": vertices, "edge": reached, **contracts.contracts(spark, tables, fns.select("fn"), options)}
 
 
 def write(tables: dict[str, DataFrame], out: str) -> None:
     for name, df in tables.items():
-        df.sort("fn").write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}.parquet")
+        df.sort(df.columns[0]).write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}.parquet")
 
 
 def target_names(sites: DataFrame) -> DataFrame:

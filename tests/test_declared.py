@@ -1,31 +1,12 @@
-"""Functions that a program declares and calls: queries against SQL, and operators without a query on small tables."""
+"""Operators on what a program declares and calls that no query runs, on small tables."""
 
-import glob
-import os
-
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from factloom import bindings, options
+from factloom import options
 from factloom.operators import flow, links, routes, signatures
 from factloom.sources import program, snapshots
 
-SF = "/root/testdata/sf0.001"
-NEW = ["declared_methods", "external_functions", "wrapped_methods", "default_leaf", "function_universe", "http_request_params", "request_message_params", "function_signatures", "resolver_calls", "ordered_edges", "route_methods", "closure_sites", "topic_cell_vertices", "canonical_types", "reach", "reach_k2"]
-
-
-@pytest.mark.parametrize("name", NEW)
-def test_query_equals_sql(spark, name):
-    con = duckdb.connect()
-    for f in glob.glob(f"{SF}/*.parquet"):
-        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}{'/*' if os.path.isdir(f) else ''}'")
-    df = bindings.QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    want = con.execute(f"SELECT {', '.join(columns)} FROM ({bindings.SQL[name]})").fetchall()
-    assert want and sorted(map(str, want)) == sorted(str(tuple(r[c] for c in columns)) for r in df.collect())
-
-
 def test_toolchain_guard_and_stale_checkout(spark):
     errors = spark.createDataFrame([("a", "undefined: x"), ("b", "package requires newer Go version go1.99")], "pkg_path string, message string")
     program.toolchain_guard(errors.where("pkg_path = 'a'"))
