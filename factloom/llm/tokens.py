@@ -7,7 +7,7 @@ pieces, which lists the tokens that end at each place, and a test of pairs; the
 Two tokens can stand side by side if BPE, run on their joined string, never merges across the seam. The test replays both
 merge histories from the seam outwards, without running BPE.
 
-No piece holds the word mark after another character, so no merge crosses such a place and texts are cut there. Of some megabytes
+No piece holds the word mark after another character, so no merge crosses such a place and texts are cut there. Of a megabyte
 of texts each distinct cut is encoded once, and decoded once from its ids; encodings are kept in a bounded table of each Python worker.
 
 Defined results: null text is encoded as empty text, and empty text has no ids; repeated rows are encoded alike; columns
@@ -33,7 +33,7 @@ from .words import Words, hashed, mixed
 
 MARK = "▁"
 #: Entries of each of the two generations of a worker's tables: of encoded cuts, and of answers about pairs.
-KEPT = 400_000
+KEPT = 150_000
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[0x20, 0x0A]] = True
 
@@ -278,7 +278,7 @@ def encode(docs: DataFrame, model: str | None = None, id_column: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for batch in slices(batches, "text", 1 << 22):
+        for batch in slices(batches, "text", 1 << 20):
             rows: dict[str, list] = {"n_tokens": [], "ids": [], "ids_sha256": [], "decoded": [], "decoded_sha256": []}
             for ids, raw, n in enc.encode_column(batch.column("text")):
                 decoded = text_of(raw)
