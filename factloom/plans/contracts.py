@@ -147,11 +147,17 @@ def grpc_methods(tables: dict[str, DataFrame], options: Options = Options()) ->
 
 def contracts(spark: SparkSession, tables: dict[str, DataFrame], own: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
     """Tables contract (kind, name, iid, handler, params) and http_call of the functions ``own``."""
-    calls, strings = written(called(tables, own)), written(texts(tables, own))
+    calls = written(called(tables, own))
     structs = tables["type"].select("pkg_path", "name", "kind")
     rpc = grpc_methods(tables, options).join(own.select(F.col("fn").alias("handler")), "handler", "left_semi")
     messages = signatures.request_message_params(tables["param"], structs, classify.segments(options.pb_paths)).withColumnRenamed("fn", "handler")
     found = rpc.join(messages, "handler", "left").select(F.lit("GRPC").alias("kind"), F.col("full_name").alias("name"), "iid", "handler", "params")
+    known = rules.router_rules(spark).select("pkg").unionByName(rules.client_rules(spark).select("pkg")).distinct()
+    if not (options.http_routes or options.http_calls) or calls.join(F.broadcast(known), "pkg", "left_semi").isEmpty():
+        # no call of a known library, so no string is asked for
+        sent = spark.createDataFrame([], "fn string, block int, ord int, method string, path string, callee_fqn string, resolved boolean, dynamic_base boolean")
+        return {"contract": written(found), "http_call": sent}
+    strings = written(texts(tables, own))
     if options.http_routes:
         requests = signatures.http_request_params(tables["param"], rules.request_types(spark)).withColumnRenamed("fn", "handler")
         found = found.unionByName(http_routes(spark, tables, own, calls, strings).join(requests, "handler", "left").select(F.lit("HTTP").alias("kind"), "name", "iid", "handler", "params"))

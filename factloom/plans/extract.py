@@ -30,8 +30,9 @@ def call_edges(tables: dict[str, DataFrame], options: Options) -> DataFrame:
         warnings.warn("dispatch 'vta' without a call graph (cg_edge): targets are those of the class hierarchy", stacklevel=2)
     pairs = satisfaction.satisfies(tables["method"], tables["iface_method"])
     calls = tables["call"].where("is_invoke").select("fn", "block", "ord", F.col("iface_type").alias("iface_key"), F.col("method").alias("name"))
-    methods = tables["method"].select("type_key", F.col("name").alias("method_id"), "decl_fn")
-    return satisfaction.class_hierarchy(calls.withColumnRenamed("name", "method_id"), pairs, methods).select("fn", "block", "ord", F.col("decl_fn").alias("callee"))
+    # an interface says which method a name is: unexported ones of other packages are others
+    calls = calls.join(tables["iface_method"].select("iface_key", "name", "method_id").distinct(), ["iface_key", "name"])
+    return satisfaction.class_hierarchy(calls, pairs, tables["method"].select("type_key", "method_id", "decl_fn")).select("fn", "block", "ord", F.col("decl_fn").alias("callee"))
 
 
 #: Options that no step of an extraction reads; those with a default of True are named in README.
