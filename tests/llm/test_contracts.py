@@ -58,3 +58,26 @@ def test_long_texts_and_contradicting_labels_in_learning(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
     out = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
     assert len(out) == 200 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_posteriors_equal_brute_force(spark):
+    rows = [(k, f"h{k % 3}" if k % 7 else None, f"p{k % 4}", (k * 37 % 100) / 100) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, path string, p double")
+    sites = quality.Sites(df)
+    overall = sum(r[3] for r in rows) / len(rows)
+    assert abs(sites.overall - overall) < 1e-12
+    for r in sites.judged(df, "host", "path", "p").collect():
+        others = [x for x in rows if x[0] != r.doc_id and x[1] == r.host]
+        host = (sites.host_strength * overall + sum(x[3] for x in others)) / (sites.host_strength + len(others))
+        here = [x for x in others if x[2] == r.path]
+        path = (sites.path_strength * host + sum(x[3] for x in here)) / (sites.path_strength + len(here))
+        odds = r.p / (1 - r.p) * path / (1 - path) / (overall / (1 - overall)) if 0 < r.p < 1 else None
+        assert abs(r["__path_posterior"] - path) < 1e-9
+        assert odds is None or abs(r["__posterior"] - odds / (1 + odds)) < 1e-9
+
+
+def test_sharding_query_names_each_document_once(spark):
+    sf = "/root/testdata/sf0.001"
+    want = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    got = sharding.op5_sharding(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == want and all(r.shard_bytes > 0 and r.tier >= 0 for r in got) and len({r.version for r in got}) == 1
