@@ -33,7 +33,7 @@ from .words import Words, hashed, mixed
 
 MARK = "▁"
 #: Entries of each of the two generations of a worker's tables: of encoded cuts, and of answers about pairs.
-KEPT = 150_000
+KEPT = 250_000
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[0x20, 0x0A]] = True
 
