@@ -16,8 +16,9 @@ Regions are joined in the metric space, whole sets at hand, as 64-bit hashes:
 * A set belongs to the Voronoi cell of its nearest pivot. It is replicated to the cell of another pivot if the triangle inequality
   lets a member of that cell be within the radius: its distance to that pivot exceeds that to its own by two radii at most, and the
   cell's greatest distance by one at most.
-* Cells are joined recursively. A cell that is hardly smaller than what it came from can't be separated by distances; there each set
-  that is not in the largest component is compared with all whose distances to the pivots differ by the radius at most.
+* Cells are joined recursively, if that leaves fewer pairs than there were. Otherwise distances can't separate the sets, and those
+  that are not in the largest component are compared with all. A product of matrices over the most frequent shingles bounds what
+  two sets have in common; only pairs that the bound and the distances to the pivots allow are compared as sets.
 * Sets already in one component need no comparison, as only components are asked for; a region that is one component is settled.
 
 Regions up to ``REGION`` shingles are joined in one task. Larger ones are dealt to the cells of their pivots by Spark, recursively;
@@ -60,8 +61,10 @@ PACKED, MOST_DOCS = 1_500_000, 60_000
 REGION = 4_000_000
 #: Pivots of a region; sets that are compared without pivots.
 PIVOTS, SMALL = 8, 16
-#: Rounds of dealing large regions to cells; a cell with a larger share of what it came from counts as not separated.
+#: Rounds of dealing large regions to cells; cells with a larger share of the pairs of what they came from count as not separated.
 ROUNDS, SEPARATED = 4, 0.9
+#: Entries of the matrix of frequent shingles, most columns of it, rows that are multiplied at a time.
+DENSE, COLUMNS, ROWS = 1 << 23, 8192, 128
 
 _U = np.uint64
 
@@ -432,20 +435,30 @@ class _Region:
         union = self.n[i] + self.n[rows] - common
         found = rows[LINK[1] * common >= LINK[0] * union]
         labels = np.unique(self.label[np.r_[found, i]])
-        if len(labels) > 1:
+        if len(labels) == 2:
+            self.label[self.label == labels[1]] = labels[0]
+        elif len(labels) > 2:
             self.label[np.isin(self.label, labels)] = labels[0]
 
+    def held(self, codes: np.ndarray) -> np.ndarray:
+        """For each of the codes of some sets, how many of the sets have it."""
+        np.add.at(self.flag, codes, 1)
+        out = self.flag[codes]
+        self.flag[codes] = 0
+        return out
+
     def join(self, rows: np.ndarray) -> None:
         """Connects all linked sets among ``rows``."""
         if (self.label[rows] == self.label[rows[0]]).all():
             return
         if len(rows) <= SMALL:
-            return self.compare(rows, None)
+            return self.compare(self.outside(rows), rows)
         part, taken, far = self.part(rows), [], np.full(len(rows), 2.0)
+        central = np.add.reduceat(self.held(part[0]), part[1]) / self.n[rows]
         distances = np.empty((len(rows), min(PIVOTS, len(rows))))
         for k in range(distances.shape[1]):
-            # the first pivot is any set, each further one the set that is farthest from those before
-            i = int(far.argmax())
+            # the first pivot is the set whose shingles most sets have, each further one the set that is farthest from those before
+            i = int(far.argmax() if k else central.argmax())
             common = self.common(rows[i], part)
             distances[:, k] = 1 - common / (self.n[rows[i]] + self.n[rows] - common)
             self.link(rows[i], rows, common)
@@ -455,28 +468,60 @@ class _Region:
         if (self.label[rows] == self.label[rows[0]]).all():
             return
         home = distances.argmin(axis=1)
-        for k in range(distances.shape[1]):
-            cell = _cell(distances, home, k)
-            if not len(cell):
-                continue
-            if len(cell) <= SEPARATED * len(rows):
+        cells = [_cell(distances, home, k) for k in range(distances.shape[1])]
+        if sum(len(c) ** 2 for c in cells) > SEPARATED * len(rows) ** 2:
+            return self.compare(self.outside(rows), rows, distances)
+        for cell in cells:
+            if len(cell):
                 self.join(rows[cell])
-            else:
-                self.compare(rows[cell], distances[cell])
 
-    def compare(self, rows: np.ndarray, distances: np.ndarray | None) -> None:
-        """Compares the sets outside the largest component with all that lie within the radius by their distances to the pivots."""
+    def outside(self, rows: np.ndarray) -> np.ndarray:
+        """Those of ``rows`` that are not in the largest component among them."""
         names, size = np.unique(self.label[rows], return_counts=True)
-        head = rows[self.label[rows] == names[size.argmax()]][0]
-        for at, i in enumerate(rows.tolist()):
-            if self.label[i] == self.label[head]:
-                continue
-            near = (self.label[rows] != self.label[i]) & (LINK[1] * np.minimum(self.n[rows], self.n[i]) >= LINK[0] * np.maximum(self.n[rows], self.n[i]))
-            if distances is not None:
-                near &= (np.abs(distances - distances[at]) <= RADIUS + 1e-9).all(axis=1)
-            others = rows[near]
-            if len(others):
-                self.link(i, others, self.common(i, self.part(others)))
+        return rows[self.label[rows] != names[size.argmax()]]
+
+    def compare(self, left: np.ndarray, right: np.ndarray, distances: np.ndarray | None = None) -> None:
+        """Connects each set of ``left`` with those of ``right`` that it is linked with; ``distances`` are those of ``right`` to pivots, with ``left`` among it."""
+        if not len(left) or not len(right):
+            return
+        every = np.unique(np.r_[left, right])
+        codes, first = self.part(every)
+        at, to, n = np.searchsorted(every, left), np.searchsorted(every, right), self.n[every]
+        # frequent shingles are columns of a matrix; of the others that several sets have, two sets share what the smaller number says at most
+        count = self.held(codes)
+        columns = np.unique(codes[count > max(1, len(every) // 32)])
+        most = min(COLUMNS, max(64, DENSE // len(every)))
+        self.flag[codes] = count
+        columns = columns[np.argsort(-self.flag[columns], kind="stable")[:most]]
+        self.flag[codes] = 0
+        self.flag[columns] = np.arange(1, len(columns) + 1)
+        column = self.flag[codes] - 1
+        self.flag[columns] = 0
+        inside = column >= 0
+        dense = np.zeros((len(every), len(columns)), np.float32)
+        dense[np.repeat(np.arange(len(every)), n)[inside], column[inside]] = 1
+        rest = np.add.reduceat((count > 1) & ~inside, first, dtype=np.int64)
+        # the least set that one could be linked with decides whether it has enough shingles that others have
+        sizes = np.sort(n[to])
+        least = np.searchsorted(sizes, needed(n[at]))
+        some = (least < len(sizes)) & (sum(LINK) * (dense[at].sum(axis=1) + rest[at]) >= LINK[0] * (n[at] + sizes[np.minimum(least, len(sizes) - 1)]))
+        left, at, others = left[some], at[some], np.ascontiguousarray(dense[to].T)
+        own = None if distances is None else np.searchsorted(right, left, sorter=np.argsort(right))
+        own = own if own is None else np.argsort(right)[own]
+        for s in range(0, len(left), ROWS):
+            x = at[s : s + ROWS]
+            bound = (dense[x] @ others).astype(np.float64) + np.minimum(rest[x][:, None], rest[to])
+            near = sum(LINK) * bound >= LINK[0] * (n[x][:, None] + n[to])
+            for k, i in enumerate(left[s : s + ROWS].tolist()):
+                c = np.flatnonzero(near[k])
+                c = c[self.label[right[c]] != self.label[i]]
+                if own is not None and len(c):
+                    c = c[(np.abs(distances[c] - distances[own[s + k]]) <= RADIUS + 1e-9).all(axis=1)]
+                c, step = c[np.argsort(-bound[k, c], kind="stable")], SMALL
+                while len(c):
+                    now, c = right[c[:step]], c[step:]
+                    self.link(i, now, self.common(i, self.part(now)))
+                    c, step = c[self.label[right[c]] != self.label[i]], 4 * step
 
 
 def _cell(distances: np.ndarray, home: np.ndarray, k: int) -> np.ndarray:
@@ -550,11 +595,7 @@ def _compared(left: pa.Table, right: pa.Table) -> pa.Table:
         both = {**a, **b}
         names = [*both]
         region, number = _Region([*both.values()]), {c: i for i, c in enumerate(names)}
-        others = np.array([number[c] for c in b])
-        part = region.part(others)
-        for c in a:
-            i = number[c]
-            region.link(i, others, region.common(i, part))
+        region.compare(np.array([number[c] for c in a]), np.array([number[c] for c in b]))
         found = [(names[i], names[x]) for i, x in enumerate(region.label.tolist()) if i != x]
     return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
@@ -596,21 +637,24 @@ def _large_regions(members: DataFrame) -> list[DataFrame]:
         cells = written(near.where(inside).select("region", "class", F.unhex(F.md5(F.concat(F.col("region"), F.col("p"), F.lit(bytes([turn]))))).alias("cell")), "cells")
         # a region whose cells aren't smaller stays whole, and gets other pivots in the next round
         before = members.select("region", "sets").distinct()
-        most = cells.groupBy("region", "cell").agg(F.count("*").alias("k")).groupBy("region").agg(F.max("k").alias("k"))
-        split = most.join(before, "region").select("region", (F.col("k") <= SEPARATED * F.col("sets")).alias("split"))
+        pairs = cells.groupBy("region", "cell").agg(F.count("*").cast("double").alias("k")).groupBy("region").agg(F.sum(F.col("k") * F.col("k")).alias("pairs"))
+        split = written(pairs.join(before, "region").select("region", (F.col("pairs") <= SEPARATED * F.col("sets").cast("double") * F.col("sets")).alias("split")), "split")
         parts = cells.join(split.where("split").select("region"), "region", "left_semi").unionByName(members.join(split.where("NOT split").select("region"), "region", "left_semi").select("region", "class", F.col("region").alias("cell")))
         labels = _labelled(parts, links)
         alive = labels.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("cell")
         members = written(parts.join(alive, "cell", "left_semi").join(members.select("region", "class", "n", "set"), ["region", "class"]).select(F.col("cell").alias("region"), "class", "n", "set"), "members")
+        if split.where("split").isEmpty():
+            break
     # what distances don't separate: sets outside the largest component of a region against all of it, block against block
     labels = written(_labelled(members.select("region", "class"), links), "labels")
     heads = labels.groupBy("region", "component").agg(F.count("*").alias("k")).groupBy("region").agg(F.max(F.struct("k", "component")).alias("h")).select("region", F.col("h.component").alias("head"))
-    parts = members.groupBy("region").agg((F.ceil(F.sum("n") / REGION) * 4).cast("int").alias("parts"))
-    every = members.join(parts, "region").withColumn("block", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    across = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rest = every.join(labels.join(heads, "region").where("component != head").select("region", "class"), ["region", "class"], "left_semi")
-    left = rest.withColumn("other", across).select("region", "block", "other", "class", "set")
-    right = every.withColumn("other", across).select("region", F.col("other").alias("block"), F.col("block").alias("other"), "class", "set")
+    rest = written(members.join(labels.join(heads, "region").where("component != head").select("region", "class"), ["region", "class"], "left_semi"), "rest")
+    blocks = lambda x, name: x.groupBy("region").agg((F.ceil(F.sum("n") / REGION) * 4).cast("int").alias(name))
+    parts = written(blocks(members, "rights").join(blocks(rest, "lefts"), "region"), "parts")
+    block = lambda name: F.pmod(F.xxhash64("class"), F.col(name)).cast("int")
+    across = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = rest.join(parts, "region").withColumn("block", block("lefts")).withColumn("other", across("rights")).select("region", "block", "other", "class", "set")
+    right = members.join(parts, "region").withColumn("other", block("rights")).withColumn("block", across("lefts")).select("region", "block", "other", "class", "set")
     met = left.groupBy("region", "block", "other").cogroup(right.groupBy("region", "block", "other"))
     links.append(written(met.applyInArrow(_compared, "a binary, b binary"), "links"))
     return links
