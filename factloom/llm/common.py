@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+#: What empties the tables that a Python worker keeps from task to task.
+TABLES: list[Callable[[], None]] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +93,11 @@ def sampled(known: DataFrame, n: int) -> list:
     return known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n).collect()
 
 
-def released() -> None:
-    """Gives a worker's freed memory back to the system at the end of a task; workers live on and share an executor."""
+def released(tables: bool = True) -> None:
+    """Gives a worker's freed memory back to the system; workers live on and share an executor. Kept tables go too, but for ``tables=False``."""
+    if tables:
+        for empty in TABLES:
+            empty()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

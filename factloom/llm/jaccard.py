@@ -152,6 +152,7 @@ def signatures(docs: DataFrame, buckets: int) -> DataFrame:
             m = len(lists[0])
             yield pa.RecordBatch.from_arrays([pa.array(lists[0], pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array([-2] * (m - 1) + [-3], pa.int32()), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.array(lists[1], pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(lists[2], pa.binary())], names)
 
+        released()
         number, id_type = 0, None
         sent, docs_of, rows_of, held, held_docs = [], [], [], 0, 0
         seen: dict[bytes, int] = {}

@@ -221,6 +221,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
     """(chunk, rows): documents with all their columns, some megabytes to a row, as compressed Arrow streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         k = 0
         task = TaskContext.get().partitionId() << 32
 
@@ -241,6 +242,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 held, size, k = [], 0, k + 1
         if held:
             yield out()
+        released()
 
     return docs.mapInArrow(run, "chunk long, rows binary")
 
@@ -259,7 +261,8 @@ def _ask(chunks: DataFrame, message: Callable, answer: Callable, buckets: int) -
                 one = batch.slice(row, 1)
                 sent = list(message(one))
                 yield pa.RecordBatch.from_arrays([pa.array([one.column("chunk")[0].as_py()] * len(sent), pa.int64()), pa.array([b for b, _ in sent], pa.int32()), pa.array([m for _, m in sent], pa.binary())], ["chunk", "bucket", "message"])
-        released()
+                del sent
+                released()
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task has whole buckets, but may have several of them
@@ -350,7 +353,8 @@ def _removed(docs: DataFrame, output: Callable[[Chunk, np.ndarray], pa.RecordBat
                 np.add.at(edges, chunk.starts[at[gone]] + WINDOW, -1)
                 keep = np.cumsum(edges)[:total] == 0
                 yield output(chunk, keep)
-        released()
+                del chunk, answers
+                released()
 
     return chunks.join(smaller, F.col("chunk") == F.col("__c")).drop("__c").mapInArrow(remove, schema)
 

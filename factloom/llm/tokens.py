@@ -8,7 +8,8 @@ Two tokens can stand side by side if BPE, run on their joined string, never merg
 merge histories from the seam outwards, without running BPE.
 
 No piece holds the word mark after another character, so no merge crosses such a place and texts are cut there. Of a megabyte
-of texts each distinct cut is encoded once, and decoded once from its ids; encodings are kept in a bounded table of each Python worker.
+of texts each distinct cut is encoded once, and decoded once from its ids; encodings are kept in a bounded table of each Python worker,
+which the worker's next task of another operator empties.
 
 Defined results: null text is encoded as empty text, and empty text has no ids; repeated rows are encoded alike; columns
 besides those named are dropped.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, released, slices
+from .common import TABLES, documents, released, slices
 from .words import Words, hashed, mixed
 
 MARK = "▁"
@@ -58,6 +59,10 @@ class Kept(dict):
         self[key] = value
         return value
 
+    def emptied(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def default_model() -> str:
     import public_tokenizers
@@ -173,17 +178,21 @@ class Encoder:
                 end -= size[end]
         return ids[::-1]
 
-    def _encoded(self, cut: str) -> tuple[bytes, bytes, int]:
-        """(decimal ids joined by commas, the bytes that they stand for, number of ids) of a cut."""
+    def _encoded(self, cut: str) -> bytes | tuple[bytes, bytes]:
+        """Decimal ids of a cut joined by commas; with the bytes that they stand for, where these aren't the cut with its marks as spaces."""
         ids = ",".join(map(str, self._pieces_of(cut))).encode()
-        return ids, self.surface_of(ids), ids.count(b",") + 1
+        surface = self.surface_of(ids)
+        return ids if surface == cut.replace(MARK, " ").encode() else (ids, surface)
 
     def cuts(self, text: str) -> list[str]:
         """Runs of marks and line ends stay with the word that follows; a run at the end is a cut of its own."""
         return _CUT.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def of_cut(self, cut: str) -> tuple[bytes, bytes, int]:
-        return self.kept[cut] if len(cut) <= 64 else self._encoded(cut)
+        """(decimal ids joined by commas, the bytes that they stand for, number of ids) of a cut."""
+        value = self.kept[cut] if len(cut) <= 64 else self._encoded(cut)
+        ids, surface = (value, cut.replace(MARK, " ").encode()) if isinstance(value, bytes) else value
+        return ids, surface, ids.count(b",") + 1
 
     def encode(self, text: str) -> str:
         """The decimal ids, joined by commas."""
@@ -266,7 +275,8 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(model: str) -> Encoder:
     if model not in _encoders:
-        _encoders[model] = Encoder(model)
+        _encoders[model] = made = Encoder(model)
+        TABLES.extend([made.kept.emptied, made.fits.emptied])
     return _encoders[model]
 
 
@@ -291,7 +301,8 @@ def encode(docs: DataFrame, model: str | None = None, id_column: str = "doc_id",
             if not keep_ids:
                 del rows["ids"], rows["decoded"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in rows.items()]], ["doc_id", *rows])
-        released()
+            del rows
+            released(tables=False)
 
     more = "ids string, ids_sha256 string, decoded string, decoded_sha256 string" if keep_ids else "ids_sha256 string, decoded_sha256 string"
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, {more}")
