@@ -54,7 +54,8 @@ def _settled(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, component): the least node that each node reaches. Nodes that are least themselves are left out."""
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+    # written first: a round reads its edges several times, and finding them may be most of the work
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     while True:
         now = written(_small(_large(now)), "edges")
         if _settled(now):

@@ -352,7 +352,8 @@ def _near(chunks: DataFrame, buckets: int) -> DataFrame:
                 chunk = _Chunk(row)
                 _, _, inverse = chunk.counted(buckets)
                 often = np.frombuffer(b"".join(a["record"] for a in row["answers"]), np.uint8)[inverse]
-                order = np.lexsort((chunk.s, often, chunk.of))
+                # a chunk has its sets one after another, each in order of its shingles, so a stable sort leaves those in order
+                order = np.argsort(chunk.of << 8 | often, kind="stable")
                 start = np.cumsum(chunk.sizes) - chunk.sizes
                 rank = np.arange(len(order)) - np.repeat(start, chunk.sizes)
                 inside = order[(rank < np.repeat(window_size(chunk.sizes), chunk.sizes)) & (often[order] > 1)]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from factloom.llm import jaccard
+from factloom.llm.graph import components
 
 
 def group(n, seed=3, size=120):
@@ -75,3 +76,18 @@ def test_groups_too_large_for_a_task(spark, monkeypatch):
     got = {x["doc_id"]: x["component_id"] for x in jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert 1 < len(set(want)) < len(texts)
     assert [got[k] for k in range(len(texts))] == want
+
+
+def test_edges_are_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def found(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.range(2000).selectExpr("cast(id as string) a", "cast(id - id % 5 as string) b").repartition(4).mapInArrow(found, "a string, b string")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert seen.value == 2000
+    groups = [sorted(map(str, range(k, k + 5))) for k in range(0, 2000, 5)]
+    assert got == {x: g[0] for g in groups for x in g[1:]}
