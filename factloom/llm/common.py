@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word: a run of bytes other than the space and the five controls 0x09-0x0D. ``bytes.split()`` cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 _own_dir: list[str] = []
 #: What empties the tables that a Python worker keeps from task to task.
 TABLES: list[Callable[[], None]] = []
+#: Seconds that a worker keeps its tables after a task.
+IDLE = 2.0
+_waiting: list[threading.Timer] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +91,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start)
 
 
+def local_table(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
+    """Collected rows as a table again, by way of Arrow; from a list Spark would start Python workers on the executors only to pickle them."""
+    return spark.createDataFrame(pa.Table.from_pylist([r.asDict() for r in rows], to_arrow_schema(schema)), schema)
+
+
 def sampled(known: DataFrame, n: int) -> list:
     """At most ``n`` rows of ``known``, least digest of the id first. A digest's threshold leaves about that many before any are sent to the driver."""
     total = known.count()
@@ -103,6 +114,22 @@ def released(tables: bool = True) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def tables_kept() -> Iterator[None]:
+    """Around a task that uses kept tables: they stay for the next such task if that begins within ``IDLE`` seconds, and go otherwise.
+
+    The next stage may have no Python task that would empty them, and idle workers share its executor's memory.
+    """
+    while _waiting:
+        _waiting.pop().cancel()
+    try:
+        yield
+    finally:
+        _waiting.append(timer := threading.Timer(IDLE, released))
+        timer.daemon = True
+        timer.start()
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model may learn from: crc32 of the id's text is a multiple of 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labels, sampled, written
+from .common import documents, held_out, labels, local_table, sampled, written
 from .mixing import word_count
 from .toxicity import logistic
 
@@ -61,7 +61,7 @@ def fit(rows: DataFrame, marks: DataFrame) -> list[np.ndarray] | None:
     if not chosen:
         return None
     # at most the sample's rows, so it may be broadcast; rows with an id in common count once
-    picked = F.broadcast(rows.sparkSession.createDataFrame(chosen, known.schema))
+    picked = F.broadcast(local_table(rows.sparkSession, chosen, known.schema))
     sample = rows.select("doc_id", "x").join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()
     sample.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality for r in sample], float)

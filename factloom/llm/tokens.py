@@ -9,7 +9,7 @@ merge histories from the seam outwards, without running BPE.
 
 No piece holds the word mark after another character, so no merge crosses such a place and texts are cut there. Of a megabyte
 of texts each distinct cut is encoded once, and decoded once from its ids; encodings are kept in a bounded table of each Python worker,
-which the worker's next task of another operator empties.
+which the worker's next task of another operator empties, or a timer when none of this one follows.
 
 Defined results: null text is encoded as empty text, and empty text has no ids; repeated rows are encoded alike; columns
 besides those named are dropped.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLES, documents, released, slices
+from .common import TABLES, documents, released, slices, tables_kept
 from .words import Words, hashed, mixed
 
 MARK = "▁"
@@ -288,21 +288,22 @@ def encode(docs: DataFrame, model: str | None = None, id_column: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for batch in slices(batches, "text", 1 << 20):
-            rows: dict[str, list] = {"n_tokens": [], "ids": [], "ids_sha256": [], "decoded": [], "decoded_sha256": []}
-            for ids, raw, n in enc.encode_column(batch.column("text")):
-                decoded = text_of(raw)
-                rows["n_tokens"].append(n)
-                rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                rows["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if keep_ids:
-                    rows["ids"].append(ids.decode())
-                    rows["decoded"].append(decoded)
-            if not keep_ids:
-                del rows["ids"], rows["decoded"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in rows.items()]], ["doc_id", *rows])
-            del rows
-            released(tables=False)
+        with tables_kept():
+            for batch in slices(batches, "text", 1 << 20):
+                rows: dict[str, list] = {"n_tokens": [], "ids": [], "ids_sha256": [], "decoded": [], "decoded_sha256": []}
+                for ids, raw, n in enc.encode_column(batch.column("text")):
+                    decoded = text_of(raw)
+                    rows["n_tokens"].append(n)
+                    rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                    rows["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if keep_ids:
+                        rows["ids"].append(ids.decode())
+                        rows["decoded"].append(decoded)
+                if not keep_ids:
+                    del rows["ids"], rows["decoded"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in rows.items()]], ["doc_id", *rows])
+                del rows
+                released(tables=False)
 
     more = "ids string, ids_sha256 string, decoded string, decoded_sha256 string" if keep_ids else "ids_sha256 string, decoded_sha256 string"
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, {more}")
